@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hostweave.operators.scale import by, hot_keys, skew_join
+from hostweave.operators.scale import by, cut, hot_keys, is_small, running_total, skew_join
 
 
 def flow_edges(flows: DataFrame) -> DataFrame:
@@ -132,3 +132,32 @@ def avg_successor_degree(edge_list: DataFrame, parallel: bool = False, hot_rows:
         "id",
         (F.coalesce("d", F.lit(0)) / F.greatest("outdegree", F.lit(1))).alias("avg_successor_degree"),
     )
+
+
+def numbered(edge_list: DataFrame, hot_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Hosts with their degrees and a number, and the edges between these numbers.
+
+    Numbers run through all scenarios in order of (degree, id), so they are
+    unique without the scenario and an edge can be pointed to its busier end by
+    comparing numbers. Both tables are stored. A small host table is broadcast
+    to the edges; otherwise both ends are joined with the edges of hot hosts split.
+    """
+    keys = by(edge_list)
+    hosts = cut(running_total(degrees(edge_list), F.lit(1), ["degree", "id", *keys], name="number"))
+    small = hot_rows is None and is_small(hosts)
+    coded = edge_list
+    for end, other in (("src", "dst"), ("dst", "src")):
+        on = [*keys, end]
+        number = hosts.select(*keys, F.col("id").alias(end), F.col("number").alias("n_" + end), "degree")
+        if small:
+            coded = coded.join(F.broadcast(number.drop("degree")), on)
+        else:
+            hot = hot_keys(number, on, "degree", hot_rows)
+            coded = skew_join(coded, number.drop("degree"), on, hot, [other])
+    return hosts, cut(coded.select(F.col("n_src").alias("src"), F.col("n_dst").alias("dst")))
+
+
+def with_hosts(hosts: DataFrame, table: DataFrame) -> DataFrame:
+    """Replace the number of a per-host table by scenario and id; hosts without a row get nulls."""
+    found = table.withColumnRenamed("id", "number")
+    return hosts.select(*by(hosts), "id", "number").join(found, "number", "left").drop("number")

@@ -14,20 +14,25 @@ from hostweave.operators.triangles import canonical_edges
 
 
 def k_core(edge_list: DataFrame, kmax: int = 3, hot_rows: int | None = None) -> DataFrame:
-    """Truncated k-core value of every node.
+    """Truncated k-core value of every node."""
+    ends = links(edge_list)
+    wires = Wires(ends, hot_rows)
+    degree = ends.groupBy(*by(edge_list), "id").agg(F.count("*").alias("degree"))
+    result = peel(wires, degree, kmax)
+    wires.close()
+    return result
+
+
+def peel(wires: Wires, degree: DataFrame, kmax: int = 3) -> DataFrame:
+    """Truncated k-core value from the links in both directions and the total degrees (id, degree).
 
     For k up to ``kmax``, nodes that still have neighbours but fewer than k
     edge ends to them leave together, until none does. A node that left at k
     gets k - 1. A node that stays gets its remaining degree, or kmax - 1 if all
     its neighbours left. Reciprocal edges count twice, self-loops two ends.
     """
-    keys = by(edge_list)
-    ends = links(edge_list)
-    wires = Wires(ends, hot_rows)
-    on = [*keys, "id"]
-    state = cut(
-        ends.groupBy(*on).agg(F.count("*").alias("degree")).withColumn("left_at", F.lit(None).cast("int"))
-    )
+    on = [*wires.by, "id"]
+    state = cut(degree.select(*on, "degree", F.lit(None).cast("int").alias("left_at")))
     for k in range(1, kmax + 1):
         leaves = F.col("left_at").isNull() & F.col("degree").between(1, k - 1)
         while not (going := state.where(leaves)).isEmpty():
@@ -39,7 +44,6 @@ def k_core(edge_list: DataFrame, kmax: int = 3, hot_rows: int | None = None) ->
                     F.when(leaves, F.lit(k)).otherwise(F.col("left_at")).alias("left_at"),
                 )
             )
-    wires.close()
     value = (
         F.when(F.col("left_at").isNotNull(), F.col("left_at") - 1)
         .when(F.col("degree") == 0, F.lit(kmax - 1))

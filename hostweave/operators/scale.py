@@ -184,16 +184,19 @@ def running_total(
 class Wires:
     """Directed links over which values travel from ``nbr`` to ``id``, round after round.
 
-    The links are written out once, partitioned and sorted by sender, so that a
+    The links are partitioned and sorted by sender once and kept, so that a
     round moves only the senders' values. Links of a hot sender are dealt out
-    over several partitions, and its value is repeated for each of them.
+    over several partitions, and its value is repeated for each of them. Lost
+    partitions are rebuilt from ``links``, which must come from a stored table.
+    ``counts`` has the links (n) per sender (nbr), if they are known already.
     """
 
-    def __init__(self, links: DataFrame, hot_rows: int | None = None):
+    def __init__(self, links: DataFrame, hot_rows: int | None = None, counts: DataFrame | None = None):
         spark = links.sparkSession
         self.by = by(links)
         self.key = [*self.by, "nbr"]
-        counts = links.groupBy(*self.key).agg(F.count("*").alias("n"))
+        if counts is None:
+            counts = links.groupBy(*self.key).agg(F.count("*").alias("n"))
         rows, top = counts.agg(F.sum("n"), F.max("n")).first()
         self.hot = None
         self.on = self.key
@@ -202,7 +205,9 @@ class Wires:
             self.on = [*self.key, "salt"]
             links = salted(links, self.key, self.hot, ["id"])
         parts = partitions_for(spark, rows or 0)
-        self.links = cut(links.repartition(parts, *self.on).sortWithinPartitions(*self.on)).persist()
+        self.links = links.repartition(parts, *self.on).sortWithinPartitions(*self.on).persist()
+        # a filled cache tells the planner its partitioning, so that rounds do not shuffle the links again
+        self.links.count()
 
     def carry(self, state: DataFrame, *values: str) -> DataFrame:
         """One row (id, values of the sender) per link whose sender is in ``state``."""

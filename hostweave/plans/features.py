@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hostweave.operators.graph import avg_neighbor_degree, degrees, edges
-from hostweave.operators.peeling import k_core
-from hostweave.operators.scale import by, cut
-from hostweave.operators.triangles import triangle_features
+from hostweave.operators.graph import avg_neighbor_degree, degrees, edges, links, numbered
+from hostweave.operators.peeling import peel
+from hostweave.operators.scale import Wires, by, cut
+from hostweave.operators.triangles import numbered_triangle_features
 
 
 def basic_features(edge_list: DataFrame) -> DataFrame:
@@ -27,17 +27,33 @@ def basic_features(edge_list: DataFrame) -> DataFrame:
     )
 
 
-def edge_features(edge_list: DataFrame, kmax: int = 3) -> DataFrame:
-    """Features from distinct edges; ``edge_list`` is read several times, so pass a stored table.
+def edge_features(edge_list: DataFrame, kmax: int = 3, hot_rows: int | None = None) -> DataFrame:
+    """All features from distinct edges; ``edge_list`` is read several times, so pass a stored table.
 
-    Every part is aggregated by host, so the joins need no further shuffle.
+    Hosts are numbered once and everything runs on the numbers: the links are
+    shuffled to their senders once for both the neighbour degrees and the
+    peeling, and every part comes out partitioned by host, ready to join.
     """
-    on = [*by(edge_list), "id"]
-    corners = triangle_features(edge_list).select(
-        *on, F.col("triangles").cast("int"), F.col("clustering_directed").alias("clustering_coefficient")
+    hosts, coded = numbered(edge_list, hot_rows)
+    degree = hosts.select(F.col("number").alias("id"), "degree")
+    wires = Wires(links(coded), hot_rows, degree.select(F.col("id").alias("nbr"), F.col("degree").alias("n")))
+    neighbors = cut(
+        wires.carry(degree, "degree").groupBy("id").agg(F.avg("degree").alias("average_neighbor_degree"))
+    )
+    cores = peel(wires, degree, kmax)
+    wires.close()
+    corners = numbered_triangle_features(hosts, coded, hot_rows)
+    parts = neighbors.join(corners, "id", "left").join(cores, "id").withColumnRenamed("id", "number")
+    return hosts.join(parts, "number").select(
+        *by(hosts),
+        "id",
+        F.col("indegree").cast("int"),
+        F.col("outdegree").cast("int"),
+        F.coalesce("average_neighbor_degree", F.lit(0.0)).alias("average_neighbor_degree"),
+        F.coalesce("triangles", F.lit(0)).cast("int").alias("triangles"),
+        F.coalesce("clustering_directed", F.lit(0.0)).alias("clustering_coefficient"),
+        F.coalesce("kCore", F.lit(0)).alias("kCore"),
     )
-    cores = k_core(edge_list, kmax)
-    return basic_features(edge_list).join(corners, on, "left").join(cores, on, "left").na.fill(0)
 
 
 def node_features(flows: DataFrame, kmax: int = 3) -> DataFrame:
