@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hostweave.functions.columns import as_number
+from hostweave.functions.columns import epoch_seconds, port_number
 from hostweave.operators.scale import by, cut, is_small, join_small, running_total
 from hostweave.sources.schema import ATTRIBUTES
 
@@ -14,22 +14,37 @@ RANK_PARTS = 4096
 
 
 def attribute_counts(flows: DataFrame) -> DataFrame:
-    """(attribute, label, value, n) for every attribute in one pass; nulls are counted under a null label."""
+    """(attribute, label, value, n) for every attribute in one pass; nulls are counted under a null label.
+
+    Values are counted as they are, and only the distinct ones are turned into
+    labels and numbers.
+    """
     keys = by(flows)
-    pairs = [
-        F.struct(
-            F.lit(name).alias("attribute"),
-            F.col(name).cast("string").alias("label"),
-            as_number(F.col(name), kind).alias("value"),
-        )
-        for name, kind in ATTRIBUTES
-    ]
-    return (
-        flows.select(*keys, F.explode(F.array(*pairs)).alias("a"))
+    types = dict(flows.dtypes)
+
+    def raw(name: str, kind: str):
+        text = F.col(name) if kind in ("text", "port") else F.lit(None).cast("string")
+        number = F.unix_micros(name) if kind == "time" else F.col(name)
+        number = F.lit(None).cast("double") if kind in ("text", "port") else number.cast("double")
+        return F.struct(F.lit(name).alias("attribute"), text.alias("text"), number.alias("number"))
+
+    counted = (
+        flows.select(*keys, F.explode(F.array(*[raw(name, kind) for name, kind in ATTRIBUTES])).alias("a"))
         .select(*keys, "a.*")
-        .groupBy(*keys, "attribute", "label", "value")
+        .groupBy(*keys, "attribute", "text", "number")
         .agg(F.count("*").alias("n"))
     )
+    times = F.col("attribute").isin([name for name, kind in ATTRIBUTES if kind == "time"])
+    ports = F.col("attribute").isin([name for name, kind in ATTRIBUTES if kind == "port"])
+    whole = F.col("attribute").isin([name for name, _ in ATTRIBUTES if types[name] in ("int", "bigint")])
+    moment = F.timestamp_micros(F.col("number").cast("long"))
+    label = (
+        F.when(times, moment.cast("string"))
+        .when(whole, F.col("number").cast("long").cast("string"))
+        .otherwise(F.coalesce("text", F.col("number").cast("string")))
+    )
+    value = F.when(times, epoch_seconds(moment)).when(ports, port_number(F.col("text"))).otherwise(F.col("number"))
+    return counted.select(*keys, "attribute", label.alias("label"), value.alias("value"), "n")
 
 
 def attribute_summary(counts: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hostweave.functions.columns import is_bot
-from hostweave.functions.draws import draw_number, number_bucket
+from hostweave.functions.draws import draw_key, draw_number, number_bucket
 from hostweave.operators.scale import by, running_total, with_row
 from hostweave.sources.schema import FEATURES
 
@@ -125,7 +125,7 @@ def bot_candidates(hosts: DataFrame, profile: DataFrame, seed: int = 0) -> DataF
             & F.col("indegree").between(F.col("bot_in_min"), F.col("bot_in_max"))
             & F.col("outdegree").between(F.col("bot_out_min"), F.col("bot_out_max"))
         )
-        .select(*keys, "id", "bot_n_bots", draw_number(seed, "bot", "id").alias("h"))
+        .select(*keys, "id", "bot_n_bots", draw_number(seed, "bot", draw_key("id")).alias("h"))
     )
     ranked = running_total(fitting, F.lit(1), ["h", "id"], keys, number_bucket(F.col("h")), "rank")
     return ranked.where("rank < bot_n_bots").select(*keys, "id")

@@ -10,7 +10,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hostweave.functions.columns import as_number, is_bot_like
-from hostweave.functions.draws import between, draw_number, integer_between, number_bucket, uniform
+from hostweave.functions.draws import (
+    draw_key,
+    draw_number,
+    integer_between,
+    lower_uniform,
+    number_bucket,
+    uniform,
+    upper_uniform,
+)
 from hostweave.operators.scale import by, expand, is_small, join_small, running_total
 from hostweave.sources.schema import ATTRIBUTES, BOT_LABEL, NORMAL_LABEL, SYNTH_COLUMNS
 
@@ -18,6 +26,10 @@ from hostweave.sources.schema import ATTRIBUTES, BOT_LABEL, NORMAL_LABEL, SYNTH_
 ID_BLOCK = 1_000_000
 # Consecutive in-stubs that share a join key when stubs are paired.
 SLOT_CELL = 16
+# Attributes drawn in one generated method; with more of them it gets too long for the JVM to compile.
+DRAWS_PER_STAGE = 3
+# More than any table has, so that coalesce merges none.
+MANY_PARTITIONS = 10_000_000
 # Parts of the unit interval that share a join key when values are drawn.
 DRAW_CELLS = 64
 
@@ -119,7 +131,7 @@ def pair_stubs(stubs: DataFrame, hosts: DataFrame, supply: DataFrame, seed: int
     """
     keys = by(hosts)
     total = supply.where("in_stubs > 0").select(*keys, F.col("role").alias("dst_role"), "in_stubs")
-    shuffled = stubs.withColumn("h", draw_number(seed, "pair", "id", "stub"))
+    shuffled = stubs.withColumn("h", draw_number(seed, "pair", draw_key("id", "stub")))
     ranked = running_total(
         shuffled, F.lit(1), ["h", "id", "stub"], [*keys, "dst_role"], number_bucket(F.col("h")), "rank"
     )
@@ -167,37 +179,41 @@ def draw_attributes(edge_list: DataFrame, histogram: DataFrame, seed: int = 0) -
     """
     keys = by(edge_list)
     small = is_small(histogram)
-    result = edge_list
+    result = edge_list.withColumn("key", draw_key("src", "stub"))
     drawn = {"proto", *[name for _, name in SYNTH_COLUMNS]}
-    for name, kind in [a for a in ATTRIBUTES if a[0] in drawn]:
+    for n, (name, kind) in enumerate([a for a in ATTRIBUTES if a[0] in drawn]):
+        if n and n % DRAWS_PER_STAGE == 0:
+            # a narrow step that moves no rows but ends the generated method
+            result = result.coalesce(MANY_PARTITIONS)
+        typed = F.col("label").cast("timestamp") if kind == "time" else F.col("label")
         bins = histogram.where(F.col("attribute") == name).select(
             *keys,
             "label",
-            "lo",
-            "hi",
             "cum_lo",
             "cum_hi",
+            # a category is an interval of length 0
+            F.coalesce("lo", as_number(typed, kind)).alias("lo"),
+            F.coalesce(F.col("hi") - F.col("lo"), F.lit(0.0)).alias("span"),
             F.explode(
                 F.sequence(F.floor(F.col("cum_lo") * DRAW_CELLS), F.floor(F.col("cum_hi") * DRAW_CELLS))
             ).alias("cell"),
         )
         bins = F.broadcast(bins) if small else bins
-        u = uniform(seed, name, "src", "stub")
-        left = result.withColumn("u", u).withColumn("cell", F.floor(F.col("u") * DRAW_CELLS)).alias("l")
+        left = (
+            result.withColumn("h", draw_number(seed, name, F.col("key")))
+            .withColumn("u", upper_uniform(F.col("h")))
+            .withColumn("cell", F.floor(F.col("u") * DRAW_CELLS))
+            .alias("l")
+        )
         right = bins.alias("r")
         match = (F.col("l.cell") == F.col("r.cell")) & (F.col("u") > F.col("cum_lo")) & (F.col("u") <= F.col("cum_hi"))
         for key in keys:
             match = match & (F.col("l." + key) == F.col("r." + key))
-        if kind == "text":
-            value = F.col("label")
-        else:
-            typed = F.col("label").cast("timestamp") if kind == "time" else F.col("label")
-            inside = between(F.col("lo"), F.col("hi"), uniform(seed, name + "+", "src", "stub"))
-            value = F.coalesce(inside, as_number(typed, kind))
+        value = F.col("label") if kind == "text" else F.col("lo") + lower_uniform(F.col("h")) * F.col("span")
         result = left.join(right, match, "left").select(
             *[F.col("l." + c).alias(c) for c in result.columns], value.alias(name)
         )
-    return result
+    return result.drop("key")
 
 
 def label_flows(edge_list: DataFrame, bots: DataFrame) -> DataFrame:

@@ -82,7 +82,7 @@ def stored_edges(spark: SparkSession, sf_dir: str, scenarios: bool = False) -> D
 
 def fixed_roles(log: DataFrame) -> DataFrame:
     """A role for every host by a fixed rule, so that parameters can be checked without k-means."""
-    hosts = graph.nodes(graph.edges(log))
+    hosts = graph.nodes(graph.flow_edges(log))
     role = (F.col("id").cast("long") % N_ROLES).cast("int")
     return cut(hosts.select(*[c for c in hosts.columns if c != "id"], F.col("id").alias("node"), role.alias("role")))
 

@@ -17,11 +17,16 @@ def _hash_number(name: str, *key: str) -> str:
     return f"CAST('0x' || substr(md5(concat_ws(':', '0', '{name}', {', '.join(key)})), 1, 15) AS BIGINT)"
 
 
+def _upper(number: str) -> str:
+    return f"((({number} >> 30) + 1) / 1073741824.0::DOUBLE)"
+
+
+def _lower(number: str) -> str:
+    return f"((({number} & 1073741823) + 1) / 1073741824.0::DOUBLE)"
+
+
 def _uniform(name: str, *key: str) -> str:
-    return (
-        f"((CAST('0x' || substr(md5(concat_ws(':', '0', '{name}', {', '.join(key)})), 1, 8) AS BIGINT) + 1)"
-        " / 4294967296.0::DOUBLE)"
-    )
+    return _upper(_hash_number(name, *key))
 
 
 def _numeric(name: str, kind: str) -> str:
@@ -187,26 +192,25 @@ def _degree_rows(flows: str, k: str, total: bool) -> str:
     return f"SELECT {k}property, val FROM ({degree.format(k=k, f=flows, t=', CAST(count(*) AS DOUBLE) AS degree' if total else '', c=columns)})"
 
 
-def _draws() -> tuple[str, str]:
-    """Joins and columns that draw every attribute of a synthetic flow."""
+def _draws() -> tuple[str, str, str]:
+    """Numbers, joins and columns that draw every attribute of a synthetic flow."""
     drawn = {"proto", *[name for _, name in SYNTH_COLUMNS]}
-    joins, columns = "", []
+    numbers, joins, columns = "", "", []
     for n, (name, kind) in enumerate([a for a in ATTRIBUTES if a[0] in drawn]):
-        joins += (
-            f" LEFT JOIN cum h{n} ON h{n}.attribute = '{name}' AND {_uniform(name, 'e.src', 'e.stub')} > h{n}.cum_lo"
-            f" AND {_uniform(name, 'e.src', 'e.stub')} <= h{n}.cum_hi"
-        )
+        numbers += f", {_hash_number(name, 'src', 'stub')} AS z{n}"
+        u = _upper(f"e.z{n}")
+        joins += f" LEFT JOIN (SELECT * FROM cum WHERE attribute = '{name}') h{n} ON {u} > h{n}.cum_lo AND {u} <= h{n}.cum_hi"
         if kind == "text":
             columns.append(f"h{n}.label AS {name}")
         else:
-            inside = f"h{n}.lo + {_uniform(name + '+', 'e.src', 'e.stub')} * (h{n}.hi - h{n}.lo)"
+            inside = f"h{n}.lo + {_lower(f'e.z{n}')} * (h{n}.hi - h{n}.lo)"
             text = f"CAST(h{n}.label AS TIMESTAMP)" if kind == "time" else f"h{n}.label"
             columns.append(f"round(coalesce({inside}, {_numeric(text, kind)}), 3) AS {name}")
-    return joins, ", ".join(columns)
+    return numbers, joins, ", ".join(columns)
 
 
 def _ctes() -> dict[str, str]:
-    joins, columns = _draws()
+    numbers, joins, columns = _draws()
     point = ", ".join(f"(x.{c} - m.avg_{c}) / CASE WHEN m.std_{c} = 0 THEN 1 ELSE m.std_{c} END AS {c}" for c in FEATURES)
     ctes = {
         "flows": FLOW_VIEW.format(extra="", table="lineitem"),
@@ -268,7 +272,8 @@ def _ctes() -> dict[str, str]:
         "candidates": f"""
             SELECT id FROM (SELECT h.id, p.n_bots, row_number() OVER (ORDER BY {_hash_number('bot', 'h.id')}, h.id) AS rn
             FROM hosts h JOIN fprofile p ON h.role = p.role AND h.indegree BETWEEN p.in_min AND p.in_max AND h.outdegree BETWEEN p.out_min AND p.out_max) WHERE rn <= n_bots""",
-        "sattrs": f"SELECT e.*, {columns} FROM sedges e{joins}",
+        "drawn": f"SELECT *{numbers} FROM sedges",
+        "sattrs": f"SELECT e.src, e.stub, e.dst, e.src_role, e.dst_role, {columns} FROM drawn e{joins}",
         "sflows": "SELECT CAST(src AS VARCHAR) AS src_addr, CAST(dst AS VARCHAR) AS dst_addr FROM sedges",
         "half1": "SELECT * FROM flows WHERE dir = '->'",
         "half2": "SELECT * FROM flows WHERE dir = '<->'",
