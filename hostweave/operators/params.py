@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hostweave.functions.columns import ratio
 from hostweave.operators.graph import flow_degrees, flow_pairs
-from hostweave.operators.scale import by, hot_keys, is_small, join_small, skew_join
+from hostweave.operators.scale import by, cut, hot_keys, is_small, join_small, skew_join
 
 # Fixed value: bins of width one before the wide ones.
 THIN_BINS = 20
@@ -49,10 +49,10 @@ def role_flow_counts(flows: DataFrame, roles: DataFrame, hot_rows: int | None =
             .withColumn("n", F.lit(1))
         )
     else:
-        joined = flow_pairs(flows)
+        joined = pairs = cut(flow_pairs(flows))
         for side, table, other in (("src", src, "dst"), ("dst", dst, "src")):
             on = [*keys, side]
-            counts = joined.groupBy(*on).agg(F.count("*").alias("pairs"))
+            counts = pairs.groupBy(*on).agg(F.count("*").alias("pairs"))
             joined = skew_join(joined, table, on, hot_keys(counts, on, "pairs", hot_rows), [other])
     return joined.groupBy(*keys, "src_role", "dst_role").agg(F.sum("n").alias("n"))
 

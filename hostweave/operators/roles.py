@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from hostweave.functions.columns import is_bot
 from hostweave.functions.draws import draw_key, draw_number, number_bucket
-from hostweave.operators.scale import by, running_total, with_row
+from hostweave.operators.scale import by, cut, running_total, with_row
 from hostweave.sources.schema import FEATURES
 
 Centroids = Sequence[Sequence[float]]
@@ -50,13 +50,15 @@ def assign_roles(scaled: DataFrame, centroids: Centroids) -> DataFrame:
 def fit_centroids(scaled: DataFrame, n_roles: int = 4, seed: int = 0) -> list[list[float]]:
     """k-means centres of one scenario, in ascending order so that role numbers are stable."""
     points = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(scaled.select(*FEATURES))
+    points = points.select("features").persist()
     model = KMeans(k=n_roles, seed=seed).fit(points)
+    points.unpersist()
     return sorted([float(x) for x in centre] for centre in model.clusterCenters())
 
 
 def cluster_roles(features: DataFrame, n_roles: int = 4, seed: int = 0) -> DataFrame:
     """Role of every host by k-means on the scaled features, one model per scenario."""
-    scaled = zscore(features).persist()
+    scaled = cut(zscore(features))
     if not by(features):
         return assign_roles(scaled, fit_centroids(scaled, n_roles, seed))
     result = None
@@ -127,5 +129,6 @@ def bot_candidates(hosts: DataFrame, profile: DataFrame, seed: int = 0) -> DataF
         )
         .select(*keys, "id", "bot_n_bots", draw_number(seed, "bot", draw_key("id")).alias("h"))
     )
-    ranked = running_total(fitting, F.lit(1), ["h", "id"], keys, number_bucket(F.col("h")), "rank")
+    bucket = number_bucket(F.col("h"), hosts.count())
+    ranked = running_total(fitting, F.lit(1), ["h", "id"], keys, bucket, "rank")
     return ranked.where("rank < bot_n_bots").select(*keys, "id")

@@ -123,15 +123,17 @@ def expand(df: DataFrame, n: str, index: str) -> DataFrame:
     """One row per 0..n-1 for every input row, numbered in ``index``.
 
     A row may stand for billions of rows, so it is first divided into blocks,
-    the blocks are spread over the cluster, and each block is expanded there.
+    the blocks are spread over as many partitions as their rows need, and each
+    block is expanded there. ``df`` is read twice, so pass a stored table.
     """
     keys = [c for c in df.columns if c != n]
+    rows = df.agg(F.sum(n)).first()[0] or 0
     size = F.lit(BLOCK_ROWS)
     last = F.floor((F.col(n) - 1) / size)
     blocks = (
         df.where(F.col(n) > 0)
         .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-        .repartition(*keys, "block")
+        .repartition(partitions_for(df.sparkSession, rows), *keys, "block")
     )
     first = F.col("block") * size
     stop = F.least(first + size, F.col(n).cast("long")) - 1

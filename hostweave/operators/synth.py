@@ -19,7 +19,7 @@ from hostweave.functions.draws import (
     uniform,
     upper_uniform,
 )
-from hostweave.operators.scale import by, expand, is_small, join_small, running_total
+from hostweave.operators.scale import by, cut, expand, is_small, join_small, running_total
 from hostweave.sources.schema import ATTRIBUTES, BOT_LABEL, NORMAL_LABEL, SYNTH_COLUMNS
 
 # Consecutive node ids whose degrees are added up in one task.
@@ -46,7 +46,7 @@ def synth_nodes(histogram: DataFrame, seed: int = 0, start: int = 0) -> DataFram
     Ids are contiguous from ``start``, by role and cell, scenario after scenario.
     """
     keys = by(histogram)
-    cells = histogram.where("n >= 1")
+    cells = cut(histogram.where("n >= 1"))
     # at most n_roles * n_bins^2 rows per scenario
     order = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("role", "in_lo", "out_lo")
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
@@ -132,8 +132,9 @@ def pair_stubs(stubs: DataFrame, hosts: DataFrame, supply: DataFrame, seed: int
     keys = by(hosts)
     total = supply.where("in_stubs > 0").select(*keys, F.col("role").alias("dst_role"), "in_stubs")
     shuffled = stubs.withColumn("h", draw_number(seed, "pair", draw_key("id", "stub")))
+    rows = supply.agg(F.sum("out_stubs")).first()[0] or 0
     ranked = running_total(
-        shuffled, F.lit(1), ["h", "id", "stub"], [*keys, "dst_role"], number_bucket(F.col("h")), "rank"
+        shuffled, F.lit(1), ["h", "id", "stub"], [*keys, "dst_role"], number_bucket(F.col("h"), rows), "rank"
     )
     dealt = (
         join_small(ranked, total, [*keys, "dst_role"])
@@ -166,7 +167,7 @@ def pair_stubs(stubs: DataFrame, hosts: DataFrame, supply: DataFrame, seed: int
 
 def synth_edges(hosts: DataFrame, role_edges: DataFrame, seed: int = 0) -> DataFrame:
     """Edges between synthetic hosts; reads ``hosts`` several times, so pass a stored table."""
-    supply = stub_supply(hosts)
+    supply = cut(stub_supply(hosts))
     return pair_stubs(out_stubs(hosts, destination_shares(role_edges, supply), seed), hosts, supply, seed)
 
 
@@ -226,7 +227,11 @@ def label_flows(edge_list: DataFrame, bots: DataFrame) -> DataFrame:
 
 
 def flows_by_time(flows: DataFrame) -> DataFrame:
-    """Flows in order of their start; equal starts in order of the other columns."""
+    """Flows in order of their start.
+
+    Equal starts are put in order of the other columns, so that a moment with
+    very many flows is divided over several tasks.
+    """
     return flows.orderBy("start_time", *[c for c in flows.columns if c != "start_time"])
 
 

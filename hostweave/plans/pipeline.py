@@ -29,10 +29,9 @@ def estimate(flows: DataFrame, n_roles: int = 4, n_bins: int = 200, seed: int =
     """Roles by k-means, bot profile, role parameters and attribute histograms of one log."""
     features = cut(node_features(flows))
     stats = roles.feature_stats(features)
-    scaled = roles.zscore(features).persist()
+    scaled = cut(roles.zscore(features))
     centroids = roles.fit_centroids(scaled, n_roles, seed)
     table = cut(roles.assign_roles(scaled, centroids))
-    scaled.unpersist()
     profile = cut(roles.bot_role(roles.bot_profile(flows, features), stats, centroids))
     return estimate_with_roles(flows, table, profile, n_roles, n_bins)
 

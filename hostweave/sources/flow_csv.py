@@ -61,13 +61,14 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def write_flows_csv(flows: DataFrame, path: str, start: str = "StartTime") -> None:
-    """CSV parts whose concatenation is in order of the start time."""
-    flows.repartitionByRange(start).sortWithinPartitions(start).write.mode("overwrite").option("header", True).csv(path)
+    """CSV parts whose concatenation is in order of the start time, and of the other columns within one time."""
+    order = [start, *[c for c in flows.columns if c != start]]
+    write_csv(flows.orderBy(*order), path)
 
 
-def write_distribution(values: DataFrame, path: str, column: str = "value") -> None:
-    """One value per line in ascending order."""
-    ordered = values.select(F.col(column)).orderBy(column)
+def write_distribution(properties: DataFrame, path: str, column: str) -> None:
+    """One value of the property per line in ascending order."""
+    ordered = properties.orderBy(column, "id")
     ordered.select(F.col(column).cast("string").alias("value")).write.mode("overwrite").text(path)
 
 
