@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostweave.llm import quality_rules, toxicity, url_filters
+from hostweave.llm import binary_output, quality_rules, toxicity, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,8 +36,15 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"))
 
 
+def op4_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of every record, taken from the written files."""
+    path = binary_output.tokenizer_path(spark, "byte_bpe_50k.json")
+    files = binary_output.write(table(spark, sf_dir, "documents"), path)
+    return binary_output.digests(files).withColumnRenamed("key", "doc_id")
+
+
 def queries() -> dict[str, Query]:
-    named = [op1_toxicity, op2_quality_rules, op3_url_filters]
+    named = [op1_toxicity, op2_quality_rules, op3_url_filters, op4_binary_output]
     return {q.__name__: q for q in named}
 
 
