@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostweave.llm import binary_output, quality_rules, toxicity, url_filters
+from hostweave.llm import binary_output, quality_rules, secret_scan, toxicity, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,8 +43,14 @@ def op4_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_output.digests(files).withColumnRenamed("key", "doc_id")
 
 
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    found = secret_scan.scan(documents, secret_scan.fit(documents))
+    return found.select("doc_id", *[c.alias(name) for name, c in secret_scan.digest().items()])
+
+
 def queries() -> dict[str, Query]:
-    named = [op1_toxicity, op2_quality_rules, op3_url_filters, op4_binary_output]
+    named = [op1_toxicity, op2_quality_rules, op3_url_filters, op4_binary_output, op5_secret_scans]
     return {q.__name__: q for q in named}
 
 
