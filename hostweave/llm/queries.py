@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostweave.llm import binary_output, quality_rules, secret_scan, toxicity, url_filters
+from hostweave.llm import binary_output, ngram_join, quality_rules, secret_scan, toxicity, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,8 +49,13 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[c.alias(name) for name, c in secret_scan.digest().items()])
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: class (same n-gram set), links to other documents, group (connected over links)."""
+    return ngram_join.groups(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "n_links", "group_id")
+
+
 def queries() -> dict[str, Query]:
-    named = [op1_toxicity, op2_quality_rules, op3_url_filters, op4_binary_output, op5_secret_scans]
+    named = [op1_toxicity, op2_quality_rules, op3_url_filters, op4_binary_output, op5_secret_scans, op6_ngram_join]
     return {q.__name__: q for q in named}
 
 
