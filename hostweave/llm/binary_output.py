@@ -19,6 +19,7 @@ same key stay apart, in the order of a hash of their texts; an empty table gives
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import struct
@@ -42,7 +43,7 @@ from hostweave.operators.scale import running_total
 # Bytes of input per file aimed at.
 SHARD_BYTES = 32 << 20
 # Different words that a task remembers the ids of.
-CACHE_WORDS = 1 << 21
+CACHE_WORDS = 1 << 20
 HEADER = struct.Struct("<qIHH")
 FRAME = 8 + 4 + HEADER.size + 4
 
@@ -288,6 +289,12 @@ class Encoder:
         return ids, count + 1
 
 
+@functools.lru_cache(maxsize=1)
+def encoder(path: str, end_id: int) -> Encoder:
+    """The encoder of this process; tasks that follow each other share what it remembers."""
+    return Encoder(path, end_id)
+
+
 # --- records -------------------------------------------------------------------------------------------------------
 
 
@@ -362,7 +369,7 @@ def write(documents: DataFrame, tokenizer: str, folder: str | None = None, key:
         batch = next(batches, None)
         if batch is None:
             return
-        encode = Encoder(tokenizer, end_id)
+        encode = encoder(tokenizer, end_id)
         shard = TaskContext.get().partitionId()
         files, base = open_folder(folder)
         files.create_dir(base, recursive=True)

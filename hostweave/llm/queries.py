@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostweave.llm import binary_output, ngram_join, quality_rules, secret_scan, toxicity, url_filters
+from hostweave.llm import binary_output, ngram_join, quality_rules, secret_scan, sentencepiece_sampling, toxicity, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -54,8 +54,14 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.groups(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "n_links", "group_id")
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of the sampled segmentations of every document, up to two distinct ones each."""
+    model = binary_output.tokenizer_path(spark, "piece_bpe_32k.model")
+    return sentencepiece_sampling.digests(table(spark, sf_dir, "documents"), model).withColumnRenamed("key", "doc_id")
+
+
 def queries() -> dict[str, Query]:
-    named = [op1_toxicity, op2_quality_rules, op3_url_filters, op4_binary_output, op5_secret_scans, op6_ngram_join]
+    named = [op1_toxicity, op2_quality_rules, op3_url_filters, op4_binary_output, op5_secret_scans, op6_ngram_join, op7_sentencepiece]
     return {q.__name__: q for q in named}
 
 
