@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostweave.llm import binary_output, ngram_join, quality_rules, secret_scan, sentencepiece_sampling, toxicity, url_filters
+from hostweave.llm import binary_output, nearest, ngram_join, quality_rules, secret_scan, sentencepiece_sampling, toxicity, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,8 +60,13 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_sampling.digests(table(spark, sf_dir, "documents"), model).withColumnRenamed("key", "doc_id")
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest found of every vector whose id is divisible by 50."""
+    return nearest.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
-    named = [op1_toxicity, op2_quality_rules, op3_url_filters, op4_binary_output, op5_secret_scans, op6_ngram_join, op7_sentencepiece]
+    named = [op1_toxicity, op2_quality_rules, op3_url_filters, op4_binary_output, op5_secret_scans, op6_ngram_join, op7_sentencepiece, op8_nearest]
     return {q.__name__: q for q in named}
 
 
