@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hostweave.llm import kernel
-from hostweave.llm.storage import new_folder, stored
+from hostweave.llm.storage import new_folder, stored, table_bytes
 from hostweave.operators.scale import running_total
 
 # Bytes of input per file aimed at.
@@ -353,8 +353,7 @@ class Files:
 def partitions(df: DataFrame, each: int = SHARD_BYTES) -> int:
     """Ranges to write, by the size of the table that the planner knows."""
     spark = df.sparkSession
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(spark.sparkContext.defaultParallelism, min(-(-size // each), 1_000_000))
+    return max(spark.sparkContext.defaultParallelism, min(-(-table_bytes(df) // each), 1_000_000))
 
 
 def write(documents: DataFrame, tokenizer: str, folder: str | None = None, key: str = "doc_id", end_id: int = 0) -> Files:

@@ -20,3 +20,8 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def table_bytes(df: DataFrame) -> int:
+    """Size of the table as the planner knows it: for files, their size."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
