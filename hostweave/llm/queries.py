@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostweave.llm import binary_output, nearest, ngram_join, quality_rules, secret_scan, sentencepiece_sampling, suffix_dedup, toxicity, url_filters
+from hostweave.llm import binary_output, mixing, nearest, ngram_join, quality_rules, secret_scan, sentencepiece_sampling, suffix_dedup, toxicity, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -70,8 +70,13 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the mix takes every document."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    named = [op1_toxicity, op2_quality_rules, op3_url_filters, op4_binary_output, op5_secret_scans, op6_ngram_join, op7_sentencepiece, op8_nearest, op9_suffix_dedup]
+    named = [op1_toxicity, op2_quality_rules, op3_url_filters, op4_binary_output, op5_secret_scans, op6_ngram_join, op7_sentencepiece, op8_nearest, op9_suffix_dedup, op10_mixing]
     return {q.__name__: q for q in named}
 
 
