@@ -143,12 +143,14 @@ def full_sets(documents: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 class Unit:
     """Classes of one block (or of two blocks, left against right) that are compared."""
 
-    def __init__(self, keys: list[bytes], grams: list[bytes], side: np.ndarray, weight: np.ndarray, buckets: list[np.ndarray], bucket: int):
+    def __init__(self, keys: list[bytes], grams: list[bytes], side: np.ndarray, weight: np.ndarray, buckets: list[np.ndarray], bucket: int, across: bool):
+        """``across``: only classes of different sides are compared."""
         order = sorted(range(len(keys)), key=keys.__getitem__)
         order = [i for k, i in enumerate(order) if k == 0 or keys[i] != keys[order[k - 1]]]  # repeated rows
         self.keys = [keys[i] for i in order]
         self.grams = [np.frombuffer(grams[i], np.uint64) for i in order]
         self.side, self.weight, self.buckets, self.bucket = side[order], weight[order], [buckets[i] for i in order], bucket
+        self.across = across
 
     def links(self, threshold: float) -> list[dict]:
         """A row for each class with a new link: their number, and the smallest class it is connected with by them."""
@@ -157,7 +159,7 @@ class Unit:
             return []
         # pairs that an earlier bucket has looked at are left to it
         fresh = shared_counts([b[b < self.bucket] for b in self.buckets]) == 0
-        if (self.side != self.side[0]).any():
+        if self.across:
             fresh &= self.side[:, None] != self.side[None, :]
         np.fill_diagonal(fresh, False)
         if not fresh.any():
@@ -218,6 +220,7 @@ def verify(units: DataFrame, threshold: float) -> DataFrame:
                     np.array([r["weight"] for r in held]),
                     [np.array(r["buckets"]) for r in held],
                     held[0]["bucket"],
+                    held[0]["left"] != held[0]["right"],
                 )
                 out.extend(unit.links(threshold))
                 held.clear()
