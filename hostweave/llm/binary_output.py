@@ -397,17 +397,18 @@ def write(documents: DataFrame, tokenizer: str, folder: str | None = None, key:
     return Files(folder, stored(ordered.mapInArrow(written, "shard long, records long, ids long, bytes long"), "shards"))
 
 
-def _each_shard(files: Files, use: Callable, schema: str) -> DataFrame:
-    """Run ``use`` (shard, folder, file system) over the shards, each read by one task."""
+def _each_shard(files: Files, use: Callable, schema: str, shards: DataFrame | None = None) -> DataFrame:
+    """Run ``use`` (shard, folder, file system, further columns of ``shards``) over the shards, each read by one task."""
     folder = files.folder
     n = max(1, files.shards.count())
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard in batch.column("shard").to_pylist():
-                yield from use(shard, *open_folder(folder))
+            for shard, *more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield from use(shard, *open_folder(folder), *more)
 
-    return files.shards.select("shard").repartition(min(n, 100_000), "shard").mapInArrow(opened, schema)
+    shards = files.shards.select("shard") if shards is None else shards
+    return shards.repartition(min(n, 100_000), "shard").mapInArrow(opened, schema)
 
 
 def _offsets(files: pafs.FileSystem, base: str, shard: int) -> np.ndarray:
@@ -469,25 +470,23 @@ def digests(files: Files) -> DataFrame:
     """(key, start, n_tokens, ids_crc32) of every record, from the files: ids before it over all shards, number of its
     ids, and the plain CRC-32 of its ids as uint32."""
 
-    def use(shard: int, fs: pafs.FileSystem, base: str) -> Iterator[pa.RecordBatch]:
-        before = 0
+    def use(shard: int, fs: pafs.FileSystem, base: str, before: int) -> Iterator[pa.RecordBatch]:
         for _, keys, ids in _groups(fs, base, shard):
             n = np.fromiter(map(len, ids), np.int64, len(ids))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([shard] * len(keys), pa.int32()),
                     pa.array(keys, pa.int64()),
                     pa.array(before + np.cumsum(n) - n),
                     pa.array(n),
                     pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()),
                 ],
-                ["shard", "key", "local", "n_tokens", "ids_crc32"],
+                ["key", "start", "n_tokens", "ids_crc32"],
             )
             before += int(n.sum())
 
-    found = _each_shard(files, use, "shard int, key long, local long, n_tokens long, ids_crc32 long")
-    bases = running_total(files.shards.select("shard", "ids"), "ids", ["shard"], bucket=F.floor(F.col("shard") / 1024)).select("shard", "before")
-    return found.join(bases, "shard").select("key", (F.col("before") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
+    # a few numbers for each file
+    bases = stored(running_total(files.shards.select("shard", "ids"), "ids", ["shard"], bucket=F.floor(F.col("shard") / 1024)).select("shard", "before"), "bases")
+    return _each_shard(files, use, "key long, start long, n_tokens long, ids_crc32 long", bases)
 
 
 def tokenizer_path(spark: SparkSession, name: str) -> str:

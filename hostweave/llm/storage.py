@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from hostweave.operators.scale import checkpoint_folder
 
@@ -22,6 +23,9 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def table_bytes(df: DataFrame) -> int:
-    """Size of the table as the planner knows it: for files, their size."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def table_bytes(df: DataFrame, column: str = "text") -> int:
+    """Size of the table as the planner knows it (for files, their size), else that of the column's texts."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < 1 << 60:
+        return size
+    return df.agg(F.sum(F.octet_length(column))).first()[0] or 0
