@@ -61,7 +61,9 @@ _CONTEXT = np.sort(np.array([kernel.hash_text(w, WORD_VALUES) for w in CONTEXT],
 
 # Values that each slot of a token's features can take.
 _N = len(LENGTHS) + 1
-SLOTS = (16 * _N, 5 * _N, 5 * _N, 5 * _N, 2 * _N, 12, 12, 6, 4, 16, 16, 4, 4, 4, 3)
+COARSE = np.array([6, 12, 16])
+_C = len(COARSE) + 1
+SLOTS = (16 * _N, 16 * _C, 5 * _C, 5 * _C, 5 * _C, 2 * _C, 12, 12, 6, 4, 16, 16, 4, 4, 4, 3)
 FIRST = np.concatenate([[0], np.cumsum(SLOTS)])
 
 
@@ -106,7 +108,7 @@ def active(data: np.ndarray, offsets: np.ndarray, start: np.ndarray, end: np.nda
     n = len(start)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
     size = end - start
-    length = np.searchsorted(LENGTHS, size, "right")
+    length, coarse = np.searchsorted(LENGTHS, size, "right"), np.searchsorted(COARSE, size, "right")
     code = CLASS[data]
     lower, upper, digit = (kernel.count_in(code == c, start, end) for c in (1, 2, 3))
     marks = size - lower - upper - digit
@@ -145,10 +147,11 @@ def active(data: np.ndarray, offsets: np.ndarray, start: np.ndarray, end: np.nda
     breaks = np.searchsorted([0.002, 0.02], per(data == 0x0A))[doc]
     slots = (
         shape * _N + length,
-        _fifths(changes, size) * _N + length,
-        _fifths(digit, size) * _N + length,
-        _fifths(kernel.count_in(VOWEL[data], start, end), size) * _N + length,
-        (kernel.count_in(HEX[data], start, end) == size) * _N + length,
+        shape * _C + coarse,
+        _fifths(changes, size) * _C + coarse,
+        _fifths(digit, size) * _C + coarse,
+        _fifths(kernel.count_in(VOWEL[data], start, end), size) * _C + coarse,
+        (kernel.count_in(HEX[data], start, end) == size) * _C + coarse,
         moved(ending, 1, 11),
         moved(kind, -1, 11),
         near,
