@@ -9,8 +9,9 @@ from hostweave.sources.schema import BOT_MARK, TIME_FORMAT
 
 
 def scenario_of(path: Column) -> Column:
-    """Name of the log up to its first dot; the log is a file or a folder of part files."""
-    return F.regexp_extract(path, r"([^/.]+)(\.[^/]*)?(/part-[^/]*)?$", 1)
+    """Name of the log up to its first dot; the log is a file, a folder of part files, or such a folder of a scenario."""
+    name = F.regexp_extract(path, r"([^/.]+)(\.[^/]*)?(/part-[^/]*)?$", 1)
+    return F.regexp_replace(name, "^scenario=", "")
 
 
 def parse_time(text: Column) -> Column:
@@ -23,11 +24,11 @@ def epoch_seconds(time: Column) -> Column:
 
 
 def port_number(text: Column) -> Column:
-    """Port written in decimal or as 0x hexadecimal; anything else is null."""
-    is_hex = text.rlike("^0[xX][0-9a-fA-F]+$")
-    return F.when(is_hex, F.conv(F.substring(text, 3, 16), 16, 10).cast("double")).otherwise(
-        text.try_cast("double")
-    )
+    """Port written in decimal or as 0x hexadecimal, of any length; anything else is null."""
+    digits = F.regexp_extract(text, "^0[xX]0*([0-9a-fA-F]+)$", 1)
+    # a number of more than 15 hexadecimal digits is no port, and would not fit
+    hexadecimal = F.when(F.length(digits) <= 15, F.conv(digits, 16, 10).cast("double"))
+    return F.when(digits != "", hexadecimal).otherwise(text.try_cast("double"))
 
 
 def bare_host(text: Column) -> Column:

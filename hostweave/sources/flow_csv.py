@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+from collections.abc import Sequence
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -10,21 +15,86 @@ from hostweave.functions.columns import bare_host, parse_time, scenario_of
 from hostweave.sources.schema import FLOW_COLUMNS
 
 
-def read_text_columns(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """All columns of CSV files with a header as text, plus ``scenario`` from the name of the log.
+def _fields(line: Column) -> Column:
+    """Names in a header line, in lower case and without quotes."""
+    return F.transform(F.split(F.lower(line), ","), lambda name: F.btrim(name, F.lit("\" \t\r\ufeff")))
 
-    Columns are found by name, unreadable files are skipped.
-    """
-    reader = spark.read.option("header", True).option("ignoreCorruptFiles", True).option("mode", "PERMISSIVE")
-    return reader.csv(path).withColumn("scenario", scenario_of(F.col("_metadata.file_path")))
 
+def file_headers(spark: SparkSession, path: str | list[str], needed: list[str]) -> dict[str, list[str]]:
+    """Files by header line. A header is a line that has all ``needed`` names in any case.
 
-def read_flows(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Typed flows of all logs under ``path``; values that do not parse become null, absent columns too."""
-    raw = read_text_columns(spark, path)
+    Raises if a file with lines has no header, or several different ones.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    is_header = F.lit(True)
+    for name in needed:
+        is_header &= F.array_contains(_fields(F.col("value")), name.lower())
+    likely = F.contains(F.lower("value"), F.lit(needed[0].lower()))  # spares splitting every line
+    # one row for each file, as the list of files is on the driver anyway
+    rows = (
+        lines.groupBy("file")
+        .agg(F.collect_set(F.when(likely & is_header, F.col("value"))).alias("headers"), F.count("*").alias("n"))
+        .collect()
+    )
+    found: dict[str, list[str]] = {}
+    for row in sorted(rows, key=lambda r: r.file):
+        headers = {h.strip("\ufeff\r\n") for h in row.headers}
+        if len(headers) != 1:
+            raise ValueError(f"{row.file}: {len(headers)} different headers with {', '.join(needed)}")
+        found.setdefault(headers.pop(), []).append(row.file)
+    return found
+
+
+def read_text_columns(spark: SparkSession, path: str | list[str], needed: list[str]) -> DataFrame:
+    """All columns of CSV files with a header as text in lower-case names, plus ``scenario`` from the name of the log.
+
+    Columns go by the names in each file's own header, in any case and order; a column that a file lacks is null there.
+    A line that repeats the header, as in concatenated files, is left out. A file that cannot be read to its end fails.
+    """
+    parts = []
+    for header, files in file_headers(spark, path, needed).items():
+        names = [n.strip("\" \t\r") for n in header.split(",")]
+        if len({n.lower() for n in names}) < len(names):
+            raise ValueError(f"{files[0]}: the header repeats a name")
+        schema = ", ".join(f"`{n}` STRING" for n in names)
+        reader = spark.read.option("header", True).option("enforceSchema", True).option("ignoreCorruptFiles", False)
+        part = reader.schema(schema).csv(files)
+        part = part.select(*[F.col(f"`{n}`").alias(n.lower()) for n in names], scenario_of(F.col("_metadata.file_path")).alias("scenario"))
+        again = reduce(and_, [F.lower(F.btrim(n)).eqNullSafe(n) for n in map(str.lower, needed)])
+        parts.append(part.where(~again))
+    if not parts:
+        schema = ", ".join(f"`{n.lower()}` STRING" for n in needed)
+        return spark.createDataFrame([], f"{schema}, scenario STRING")
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+
+
+def check_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, rows, skipped): every file under ``path``, its lines, and whether it cannot be read to its end."""
+    rows = []
+    for file in sorted(spark.read.text(path).inputFiles()):
+        try:
+            rows.append((file, spark.read.option("ignoreCorruptFiles", False).text(file).count(), False))
+        except Exception as error:  # a broken file fails in many ways, all inside the job
+            if not re.search("EOF|gzip|zip|Zlib|Corrupt|corrupt|Checksum|FAILED_READ_FILE", str(error)):
+                raise
+            rows.append((file, None, True))
+    return spark.createDataFrame(rows, "file STRING, rows LONG, skipped BOOLEAN")
+
+
+def readable_files(spark: SparkSession, path: str | list[str]) -> list[str]:
+    """Files that can be read whole; the others are left out whole, see ``check_files``."""
+    return [r.file for r in check_files(spark, path).where("NOT skipped").collect()]
+
+
+def read_flows(spark: SparkSession, path: str | list[str], skip_corrupt: bool = False) -> DataFrame:
+    """Typed flows of all logs under ``path``; values that do not parse become null, absent columns too.
+
+    With ``skip_corrupt`` files that cannot be read to their end are left out whole.
+    """
+    raw = read_text_columns(spark, readable_files(spark, path) if skip_corrupt else path, ["SrcAddr", "DstAddr"])
     columns = []
     for header, name, kind in FLOW_COLUMNS:
-        text = F.col(header) if header in raw.columns else F.lit(None).cast("string")
+        text = F.col(f"`{header.lower()}`") if header.lower() in raw.columns else F.lit(None).cast("string")
         if isinstance(kind, T.TimestampType):
             value = parse_time(text)
         elif isinstance(kind, T.StringType):
@@ -35,16 +105,23 @@ def read_flows(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return raw.select("scenario", *columns)
 
 
+def ingest(spark: SparkSession, path: str | list[str], out: str) -> DataFrame:
+    """Read the logs once and store them as Parquet by scenario; scenarios that are not in the logs stay."""
+    write_table(read_flows(spark, path), out)
+    return read_table(spark, out)
+
+
 def read_pairs(spark: SparkSession, path: str | list[str], src: str = "source", dst: str = "destination") -> DataFrame:
     """Only the two host columns of a flow table, whatever they are called, as flows."""
-    raw = read_text_columns(spark, path)
-    return raw.select("scenario", bare_host(F.col(src)).alias("src_addr"), bare_host(F.col(dst)).alias("dst_addr"))
+    raw = read_text_columns(spark, path, [src, dst])
+    ends = [bare_host(F.col(f"`{name.lower()}`")) for name in (src, dst)]
+    return raw.select("scenario", ends[0].alias("src_addr"), ends[1].alias("dst_addr"))
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Parquet, one folder per scenario unless told otherwise."""
+    """Parquet, one folder per scenario unless told otherwise; folders that get no rows stay as they are."""
     parts = partition_by if partition_by is not None else [c for c in ("scenario",) if c in df.columns]
-    df.write.mode("overwrite").partitionBy(*parts).parquet(path)
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
@@ -75,15 +152,20 @@ def write_distribution(properties: DataFrame, path: str, column: str) -> None:
 def write_profile(profile: DataFrame, path: str) -> None:
     """Bot profile as whole numbers."""
     kept = [c for c in profile.columns if not c.startswith("mean_")]
-    write_csv(profile.select(*[F.col(c).cast("int").alias(c) if c != "scenario" else F.col(c) for c in kept]), path)
+    write_csv(profile.select(*[F.col(c).cast("long").alias(c) if c != "scenario" else F.col(c) for c in kept]), path)
+
 
+def write_log(flows: DataFrame, path: str, headers: Sequence[str] | None = None) -> None:
+    """Typed flows as flow logs that ``read_flows`` can read, one folder per scenario if there are scenarios.
 
-def write_log(flows: DataFrame, path: str) -> None:
-    """Typed flows as a flow log that ``read_flows`` can read."""
+    ``headers`` gives the names and order of the columns in the file, in any case.
+    """
+    kinds = {header.lower(): (name, kind) for header, name, kind in FLOW_COLUMNS}
     columns = []
-    for header, name, kind in FLOW_COLUMNS:
-        value = F.col(name)
-        if isinstance(kind, T.TimestampType):
-            value = F.date_format(value, "yyyy/MM/dd HH:mm:ss.SSSSSS")
+    for header in headers or [header for header, _, _ in FLOW_COLUMNS]:
+        name, kind = kinds[header.lower()]
+        value = F.date_format(name, "yyyy/MM/dd HH:mm:ss.SSSSSS") if isinstance(kind, T.TimestampType) else F.col(name)
         columns.append(value.alias(header))
-    write_csv(flows.select(*columns), path)
+    keys = [c for c in ("scenario",) if c in flows.columns]
+    writer = flows.select(*keys, *columns).write.mode("overwrite").option("header", True)
+    (writer.partitionBy(*keys).option("partitionOverwriteMode", "dynamic") if keys else writer).csv(path)
