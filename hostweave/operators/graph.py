@@ -26,8 +26,8 @@ def flow_pairs(flows: DataFrame) -> DataFrame:
 
 
 def _ends(edge_list: DataFrame) -> DataFrame:
-    """Two rows per edge: its source (one out) and its target (one in)."""
-    return edge_list.select(
+    """Two rows per edge: its source (one out) and its target (one in); an end that is null has none."""
+    found = edge_list.select(
         *by(edge_list),
         F.explode(
             F.array(
@@ -35,7 +35,8 @@ def _ends(edge_list: DataFrame) -> DataFrame:
                 F.struct(F.col("dst").alias("id"), F.lit(1).alias("i"), F.lit(0).alias("o")),
             )
         ).alias("e"),
-    ).select(*by(edge_list), "e.*")
+    )
+    return found.select(*by(edge_list), "e.*").where("id is not null")
 
 
 def nodes(edge_list: DataFrame) -> DataFrame:
@@ -67,8 +68,8 @@ def degrees(edge_list: DataFrame) -> DataFrame:
 
 
 def flow_degrees(flows: DataFrame) -> DataFrame:
-    """Degrees that count every flow."""
-    return degrees(flow_edges(flows))
+    """Degrees that count every flow; of a flow with one end, that end counts."""
+    return degrees(flows.select(*by(flows), F.col("src_addr").alias("src"), F.col("dst_addr").alias("dst")))
 
 
 def in_degree(edge_list: DataFrame) -> DataFrame:

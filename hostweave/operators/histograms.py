@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hostweave.functions.columns import epoch_seconds, port_number
@@ -56,15 +56,21 @@ def attribute_summary(counts: DataFrame) -> DataFrame:
     )
 
 
+def _is_text() -> Column:
+    return F.col("attribute").isin([name for name, kind in ATTRIBUTES if kind == "text"])
+
+
 def categorical_histograms(counts: DataFrame, max_values: int = 100) -> DataFrame:
-    """Attributes with few values: each value with its share of all rows, nulls included; most frequent first."""
+    """Attributes of text, and others with few values: each value with its share of all rows, most frequent first.
+
+    Nulls are counted among the rows. Text may have any number of values, so bins are numbered by running totals.
+    """
     keys = [*by(counts), "attribute"]
-    few = attribute_summary(counts).where(F.col("n_distinct") <= max_values).select(*keys, "n_rows")
-    # at most max_values rows per window group
-    order = Window.partitionBy(*keys).orderBy(F.desc("n"), "label")
-    return join_small(counts.where("label is not null"), few, keys).select(
+    few = attribute_summary(counts).where(_is_text() | (F.col("n_distinct") <= max_values)).select(*keys, "n_rows")
+    values = join_small(counts.where("label is not null"), few, keys).withColumn("rare", -F.col("n"))
+    return running_total(values, F.lit(1), ["rare", "label"], keys, name="place").select(
         *keys,
-        F.row_number().over(order).alias("bin"),
+        (F.col("place") + 1).cast("int").alias("bin"),
         "label",
         F.lit(None).cast("double").alias("lo"),
         F.lit(None).cast("double").alias("hi"),
@@ -81,7 +87,7 @@ def quantile_histograms(counts: DataFrame, max_values: int = 100, max_bins: int
     count of an interval follows from the ranks too, so values are read once.
     """
     keys = [*by(counts), "attribute"]
-    many = attribute_summary(counts).where(F.col("n_distinct") > max_values).select(*keys)
+    many = attribute_summary(counts).where(~_is_text() & (F.col("n_distinct") > max_values)).select(*keys)
     values = (
         join_small(counts.where("value is not null"), many, keys)
         .groupBy(*keys, "value")
@@ -154,10 +160,7 @@ def quantile_histograms(counts: DataFrame, max_values: int = 100, max_bins: int
 
 
 def attr_histograms(flows: DataFrame, max_values: int = 100, max_bins: int = 100) -> DataFrame:
-    """Histogram of every attribute, of the kind its number of distinct values calls for.
-
-    Text attributes with more than ``max_values`` values have no histogram.
-    """
+    """Histogram of every attribute: text by value, numbers by value or interval as their number of values calls for."""
     counts = cut(attribute_counts(flows))
     return with_share(
         categorical_histograms(counts, max_values).unionByName(quantile_histograms(counts, max_values, max_bins))
@@ -169,12 +172,11 @@ def with_share(histogram: DataFrame) -> DataFrame:
 
 
 def cumulative(histogram: DataFrame) -> DataFrame:
-    """Share below a bin and up to it; a histogram has at most 100 bins per attribute."""
+    """Share below a bin and up to it."""
     keys = [*by(histogram), "attribute"]
-    upto = F.sum("n").over(Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
+    summed = running_total(histogram, "n", ["bin"], keys, bucket=F.floor(F.col("bin") / 10_000))
     return (
-        histogram.withColumn("upto", upto)
-        .withColumn("cum_lo", (F.col("upto") - F.col("n")) / F.col("total"))
-        .withColumn("cum_hi", F.col("upto") / F.col("total"))
-        .drop("upto")
+        summed.withColumn("cum_lo", F.col("before") / F.col("total"))
+        .withColumn("cum_hi", (F.col("before") + F.col("n")) / F.col("total"))
+        .drop("before")
     )

@@ -14,17 +14,18 @@ THIN_BINS = 20
 
 
 def role_list(df: DataFrame, n_roles: int, name: str = "role") -> DataFrame:
-    """Every role number, per scenario."""
+    """Every role number up to ``n_roles``, or up to the largest one in the table, per scenario; ``top`` is the last."""
     keys = by(df)
-    base = df.select(*keys).distinct() if keys else df.sparkSession.range(1)
-    return base.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(n_roles - 1))).alias(name))
+    top = F.greatest(F.lit(n_roles - 1), F.max("role").cast("int")).alias("top")
+    base = df.groupBy(*keys).agg(top) if keys else df.agg(top)
+    return base.select(*keys, "top", F.explode(F.sequence(F.lit(0), F.col("top"))).alias(name))
 
 
 def role_sizes(roles: DataFrame, n_roles: int = 4) -> DataFrame:
     """Number of hosts per role, empty roles included."""
     keys = by(roles)
     counts = roles.groupBy(*keys, "role").agg(F.count("*").alias("n_nodes"))
-    return role_list(roles, n_roles).join(counts, [*keys, "role"], "left").na.fill(0, ["n_nodes"])
+    return role_list(roles, n_roles).drop("top").join(counts, [*keys, "role"], "left").na.fill(0, ["n_nodes"])
 
 
 def scenario_size(sizes: DataFrame) -> DataFrame:
@@ -60,9 +61,8 @@ def role_flow_counts(flows: DataFrame, roles: DataFrame, hot_rows: int | None =
 def role_edges(flows: DataFrame, roles: DataFrame, n_roles: int = 4, hot_rows: int | None = None) -> DataFrame:
     """Dense role x role table: flows, probability given the source role, joint probability."""
     keys = by(flows)
-    grid = role_list(roles, n_roles, "src_role").withColumn(
-        "dst_role", F.explode(F.sequence(F.lit(0), F.lit(n_roles - 1)))
-    )
+    grid = role_list(roles, n_roles, "src_role")
+    grid = grid.withColumn("dst_role", F.explode(F.sequence(F.lit(0), F.col("top")))).drop("top")
     counts = role_flow_counts(flows, roles, hot_rows)
     dense = grid.join(counts, [*keys, "src_role", "dst_role"], "left").na.fill(0, ["n"])
     row = F.sum("n").over(Window.partitionBy(*keys, "src_role"))

@@ -9,18 +9,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hostweave.operators.graph import links, nodes
-from hostweave.operators.scale import Wires, by, cut
+from hostweave.operators.scale import Wires, by, cut, cut_and_see
 from hostweave.operators.triangles import canonical_edges
 
 
 def k_core(edge_list: DataFrame, kmax: int = 3, hot_rows: int | None = None) -> DataFrame:
     """Truncated k-core value of every node."""
     ends = links(edge_list)
-    wires = Wires(ends, hot_rows)
     degree = ends.groupBy(*by(edge_list), "id").agg(F.count("*").alias("degree"))
-    result = peel(wires, degree, kmax)
-    wires.close()
-    return result
+    with Wires(ends, hot_rows) as wires:
+        return peel(wires, degree, kmax)
 
 
 def peel(wires: Wires, degree: DataFrame, kmax: int = 3) -> DataFrame:
@@ -32,18 +30,21 @@ def peel(wires: Wires, degree: DataFrame, kmax: int = 3) -> DataFrame:
     its neighbours left. Reciprocal edges count twice, self-loops two ends.
     """
     on = [*wires.by, "id"]
-    state = cut(degree.select(*on, "degree", F.lit(None).cast("int").alias("left_at")))
-    for k in range(1, kmax + 1):
+    # the smallest degree of those who stay tells the next k at which someone leaves
+    least = F.min(F.when(F.col("left_at").isNull() & (F.col("degree") > 0), F.col("degree")))
+    state, seen = cut_and_see(degree.select(*on, "degree", F.lit(None).cast("int").alias("left_at")), least=least)
+    k = 1
+    while seen["least"] is not None and (k := max(k, seen["least"] + 1)) <= kmax:
         leaves = F.col("left_at").isNull() & F.col("degree").between(1, k - 1)
-        while not (going := state.where(leaves)).isEmpty():
-            lost = wires.carry(going).groupBy(*on).agg(F.count("*").alias("lost"))
-            state = cut(
-                state.join(lost, on, "left").select(
-                    *on,
-                    (F.col("degree") - F.coalesce("lost", F.lit(0))).alias("degree"),
-                    F.when(leaves, F.lit(k)).otherwise(F.col("left_at")).alias("left_at"),
-                )
-            )
+        lost = wires.carry(state.where(leaves)).groupBy(*on).agg(F.count("*").alias("lost"))
+        state, seen = cut_and_see(
+            state.join(lost, on, "left").select(
+                *on,
+                (F.col("degree") - F.coalesce("lost", F.lit(0))).alias("degree"),
+                F.when(leaves, F.lit(k)).otherwise(F.col("left_at")).alias("left_at"),
+            ),
+            least=least,
+        )
     value = (
         F.when(F.col("left_at").isNotNull(), F.col("left_at") - 1)
         .when(F.col("degree") == 0, F.lit(kmax - 1))
@@ -74,19 +75,19 @@ def core_number(edge_list: DataFrame, hot_rows: int | None = None) -> DataFrame:
     keys = by(edge_list)
     on = [*keys, "id"]
     ends = cut(links(canonical_edges(edge_list).select(*keys, F.col("a").alias("src"), F.col("b").alias("dst"))))
-    wires = Wires(ends, hot_rows)
-    state = cut(ends.groupBy(*on).agg(F.count("*").alias("core")))
-    total = state.agg(F.sum("core")).first()[0]
     from_top = Window.partitionBy(*on).orderBy(F.desc("core")).rowsBetween(Window.unboundedPreceding, 0)
-    while total is not None:
-        counted = wires.carry(state, "core").groupBy(*on, "core").agg(F.count("*").alias("n"))
-        state = cut(
-            counted.withColumn("at_least", F.sum("n").over(from_top))
-            .groupBy(*on)
-            .agg(F.max(F.least("core", "at_least")).alias("core"))
-        )
-        before, total = total, state.agg(F.sum("core")).first()[0]
-        if total == before:
-            break
-    wires.close()
+    with Wires(ends, hot_rows) as wires:
+        state, seen = cut_and_see(ends.groupBy(*on).agg(F.count("*").alias("core")), total=F.sum("core"))
+        total = seen["total"]
+        while total is not None:
+            counted = wires.carry(state, "core").groupBy(*on, "core").agg(F.count("*").alias("n"))
+            lowered = (
+                counted.withColumn("at_least", F.sum("n").over(from_top))
+                .groupBy(*on)
+                .agg(F.max(F.least("core", "at_least")).alias("core"))
+            )
+            state, seen = cut_and_see(lowered, total=F.sum("core"))
+            if seen["total"] == total:
+                break
+            total = seen["total"]
     return nodes(edge_list).join(state, on, "left").select(*on, F.coalesce("core", F.lit(0)).cast("int").alias("core"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Rows of one key that may share a task; a key with more is split.
@@ -24,12 +25,16 @@ def by(df: DataFrame) -> list[str]:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared checkpoint folder; a temporary one only in local mode."""
+    """The shared checkpoint folder; a temporary one only in local mode, where tasks run in this process.
+
+    Checkpoints that nothing refers to any more are removed.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        sc._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not sc.master.startswith("local"):
+            if not re.match(r"local(\[|$)", sc.master):
                 raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="hostweave-")
         sc.setCheckpointDir(folder)
@@ -42,6 +47,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def cut_and_see(df: DataFrame, **values: Column) -> tuple[DataFrame, dict]:
+    """``cut``, and aggregates of the table that come out of the same job."""
+    seen = Observation()
+    stored = cut(df.observe(seen, *[value.alias(name) for name, value in values.items()]))
+    return stored, seen.get
+
+
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
@@ -220,3 +232,9 @@ class Wires:
 
     def close(self) -> None:
         self.links.unpersist()
+
+    def __enter__(self) -> Wires:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()

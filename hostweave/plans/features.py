@@ -19,8 +19,8 @@ def basic_features(edge_list: DataFrame) -> DataFrame:
         .join(avg_neighbor_degree(edge_list), on, "left")
         .select(
             *on,
-            F.col("indegree").cast("int"),
-            F.col("outdegree").cast("int"),
+            "indegree",
+            "outdegree",
             "average_neighbor_degree",
         )
         .na.fill(0)
@@ -36,21 +36,21 @@ def edge_features(edge_list: DataFrame, kmax: int = 3, hot_rows: int | None = No
     """
     hosts, coded = numbered(edge_list, hot_rows)
     degree = hosts.select(F.col("number").alias("id"), "degree")
-    wires = Wires(links(coded), hot_rows, degree.select(F.col("id").alias("nbr"), F.col("degree").alias("n")))
-    neighbors = cut(
-        wires.carry(degree, "degree").groupBy("id").agg(F.avg("degree").alias("average_neighbor_degree"))
-    )
-    cores = peel(wires, degree, kmax)
-    wires.close()
+    counts = degree.select(F.col("id").alias("nbr"), F.col("degree").alias("n"))
+    with Wires(links(coded), hot_rows, counts) as wires:
+        neighbors = cut(
+            wires.carry(degree, "degree").groupBy("id").agg(F.avg("degree").alias("average_neighbor_degree"))
+        )
+        cores = peel(wires, degree, kmax)
     corners = numbered_triangle_features(hosts, coded, hot_rows)
     parts = neighbors.join(corners, "id", "left").join(cores, "id").withColumnRenamed("id", "number")
     return hosts.join(parts, "number").select(
         *by(hosts),
         "id",
-        F.col("indegree").cast("int"),
-        F.col("outdegree").cast("int"),
+        "indegree",
+        "outdegree",
         F.coalesce("average_neighbor_degree", F.lit(0.0)).alias("average_neighbor_degree"),
-        F.coalesce("triangles", F.lit(0)).cast("int").alias("triangles"),
+        F.coalesce("triangles", F.lit(0)).alias("triangles"),
         F.coalesce("clustering_directed", F.lit(0.0)).alias("clustering_coefficient"),
         F.coalesce("kCore", F.lit(0)).alias("kCore"),
     )

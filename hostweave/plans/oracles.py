@@ -220,8 +220,8 @@ def _ctes() -> dict[str, str]:
         **_features("edges", "", ""),
         **_features("edges_s", "_s", "scenario, "),
         "features": """
-            SELECT d.id, CAST(d.indegree AS INT) AS indegree, CAST(d.outdegree AS INT) AS outdegree, a.d AS average_neighbor_degree,
-                   CAST(coalesce(i.t, 0) AS INT) AS triangles, coalesce(2 * i.l / (n.n * (n.n - 1)), 0) AS clustering_coefficient,
+            SELECT d.id, d.indegree, d.outdegree, a.d AS average_neighbor_degree,
+                   coalesce(i.t, 0) AS triangles, coalesce(2 * i.l / (n.n * (n.n - 1)), 0) AS clustering_coefficient,
                    CAST(c.kcore AS INT) AS "kCore"
             FROM deg d JOIN nbrdeg a USING (id) LEFT JOIN nbn n USING (id) LEFT JOIN inner_t i USING (id) JOIN kcore_t c USING (id)
         """,
@@ -391,8 +391,8 @@ def oracle_sql() -> dict[str, str]:
             + f" FROM deg_h{tag} d LEFT JOIN nbn_h{tag} n USING (id) LEFT JOIN inner_t_h{tag} i USING (id)"
         )
     features_s = """
-        SELECT d.scenario, d.id, CAST(d.indegree AS INT) AS indegree, CAST(d.outdegree AS INT) AS outdegree,
-               round(a.d, 9) AS average_neighbor_degree, CAST(coalesce(i.t, 0) AS INT) AS triangles,
+        SELECT d.scenario, d.id, d.indegree, d.outdegree,
+               round(a.d, 9) AS average_neighbor_degree, coalesce(i.t, 0) AS triangles,
                round(coalesce(2 * i.l / (n.n * (n.n - 1)), 0), 9) AS clustering_coefficient, CAST(c.kcore AS INT) AS "kCore"
         FROM deg_s d JOIN nbrdeg_s a USING (scenario, id) LEFT JOIN nbn_s n USING (scenario, id)
              LEFT JOIN inner_t_s i USING (scenario, id) JOIN kcore_ts c USING (scenario, id)"""
@@ -439,7 +439,7 @@ def oracle_sql() -> dict[str, str]:
         " (SELECT t AS id, d, count(*) AS n FROM d6 WHERE d > 0 GROUP BY ALL) USING (id) GROUP BY id",
         "betweenness": "SELECT d.id, round(coalesce(c, 0) / (((SELECT count(*) FROM deg) - 1) * ((SELECT count(*) FROM deg) - 2)), 9) AS betweenness"
         " FROM deg d LEFT JOIN bt USING (id)",
-        "basic_features": "SELECT id, CAST(indegree AS INT) AS indegree, CAST(outdegree AS INT) AS outdegree, round(a.d, 9) AS average_neighbor_degree"
+        "basic_features": "SELECT id, indegree, outdegree, round(a.d, 9) AS average_neighbor_degree"
         " FROM deg JOIN nbrdeg a USING (id)",
         "node_features": "SELECT * REPLACE (round(average_neighbor_degree, 9) AS average_neighbor_degree, round(clustering_coefficient, 9) AS clustering_coefficient) FROM features",
         "node_features_by_scenario": features_s,
