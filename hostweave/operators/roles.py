@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_, or_
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hostweave.functions.columns import is_bot
 from hostweave.functions.draws import draw_key, draw_number, number_bucket
-from hostweave.operators.scale import by, cut, running_total, with_row
+from hostweave.operators.scale import by, cut, cut_and_see, running_total, with_row
 from hostweave.sources.schema import FEATURES
 
-Centroids = Sequence[Sequence[float]]
+# Given centres as a list, or as a table of (scenario if there are any, role, features).
+Centroids = Sequence[Sequence[float]] | DataFrame
+
+# Digits that centres are kept to, so that the order of sums does not decide.
+CENTRE_DIGITS = 9
 
 
 def feature_stats(features: DataFrame) -> DataFrame:
@@ -35,7 +39,7 @@ def zscore(features: DataFrame) -> DataFrame:
     )
 
 
-def nearest(centroids: Centroids) -> Column:
+def nearest(centroids: Sequence[Sequence[float]]) -> Column:
     """Index of the nearest centroid; the smaller one on a tie."""
     distances = F.array(
         *[sum((F.pow(F.col(c) - F.lit(float(x)), 2) for c, x in zip(FEATURES, point)), F.lit(0.0)) for point in centroids]
@@ -43,30 +47,62 @@ def nearest(centroids: Centroids) -> Column:
     return (F.array_position(distances, F.array_min(distances)) - 1).cast("int")
 
 
+def with_nearest(points: DataFrame, centroids: Centroids) -> DataFrame:
+    """Add ``role``, the nearest centre of the point's scenario, the smaller number on a tie."""
+    if not isinstance(centroids, DataFrame):
+        return points.withColumn("role", nearest(centroids))
+    # a few centres per scenario in one row
+    centre = F.struct(F.col("role").cast("int").alias("role"), *FEATURES)
+    lists = centroids.groupBy(*by(centroids)).agg(F.sort_array(F.collect_list(centre)).alias("_centres"))
+
+    def far(c: Column) -> Column:
+        distance = sum((F.pow(F.col(name) - c[name], 2) for name in FEATURES), F.lit(0.0))
+        return F.struct(distance.alias("distance"), c["role"].alias("role"))
+
+    known = reduce(and_, [F.col(c).isNotNull() for c in FEATURES])
+    found = F.array_min(F.transform("_centres", far))["role"]
+    return with_row(points, lists).withColumn("role", F.when(known, found)).drop("_centres")
+
+
 def assign_roles(scaled: DataFrame, centroids: Centroids) -> DataFrame:
-    return scaled.select(*by(scaled), F.col("id").alias("node"), nearest(centroids).alias("role"))
+    return with_nearest(scaled, centroids).select(*by(scaled), F.col("id").alias("node"), "role")
+
 
+def fit_centroids(scaled: DataFrame, n_roles: int = 4, seed: int = 0, rounds: int = 10) -> DataFrame:
+    """k-means centres of all scenarios in one pass per round, as a table of (scenario, role, features).
 
-def fit_centroids(scaled: DataFrame, n_roles: int = 4, seed: int = 0) -> list[list[float]]:
-    """k-means centres of one scenario, in ascending order so that role numbers are stable."""
-    points = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(scaled.select(*FEATURES))
-    points = points.select("features").persist()
-    model = KMeans(k=n_roles, seed=seed).fit(points)
-    points.unpersist()
-    return sorted([float(x) for x in centre] for centre in model.clusterCenters())
+    Centres start at the ``n_roles`` hosts of each scenario that come first in hash order and move ``rounds`` times, or
+    until none does; a centre without hosts stays where it is. Roles are numbered by the centres in ascending order.
+    ``scaled`` is read every round, so pass a stored table.
+    """
+    keys = by(scaled)
+    drawn = scaled.withColumn("h", draw_number(seed, "start", draw_key("id")))
+    order = ["h", "id"]
+    if keys:
+        first = drawn.withColumn("role", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).where(F.col("role") < n_roles)
+    else:
+        first = drawn.orderBy(*order).limit(n_roles).withColumn("role", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1)
+    rounded = [F.round(c, CENTRE_DIGITS).alias(c) for c in FEATURES]
+    centres = cut(first.select(*keys, "role", *rounded))
+    for _ in range(rounds):
+        moved = with_nearest(scaled, centres).groupBy(*keys, "role").agg(*[F.round(F.avg(c), CENTRE_DIGITS).alias("_" + c) for c in FEATURES])
+        old = centres
+        now = [F.coalesce("_" + c, c).alias(c) for c in FEATURES]
+        change = reduce(or_, [~F.col("_" + c).eqNullSafe(F.col(c)) & F.col("_" + c).isNotNull() for c in FEATURES])
+        joined = old.join(moved, [*keys, "role"], "left").select(*keys, "role", *now, change.alias("moved"))
+        centres, seen = cut_and_see(joined, n=F.count_if("moved"))
+        centres = centres.drop("moved")
+        if not seen["n"]:
+            break
+    # a few rows per scenario
+    place = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    return centres.select(*keys, (F.row_number().over(place.orderBy(*FEATURES, "role")) - 1).alias("role"), *FEATURES)
 
 
 def cluster_roles(features: DataFrame, n_roles: int = 4, seed: int = 0) -> DataFrame:
-    """Role of every host by k-means on the scaled features, one model per scenario."""
+    """Role of every host by k-means on the scaled features, each scenario by itself, all in the same jobs."""
     scaled = cut(zscore(features))
-    if not by(features):
-        return assign_roles(scaled, fit_centroids(scaled, n_roles, seed))
-    result = None
-    for (name,) in sorted(scaled.select("scenario").distinct().collect()):
-        part = scaled.where(F.col("scenario") == name)
-        roles = assign_roles(part, fit_centroids(part, n_roles, seed))
-        result = roles if result is None else result.unionByName(roles)
-    return result
+    return assign_roles(scaled, fit_centroids(scaled, n_roles, seed))
 
 
 def bot_hosts(flows: DataFrame) -> DataFrame:
@@ -108,8 +144,7 @@ def bot_role(profile: DataFrame, stats: DataFrame, centroids: Centroids, scale_p
     point = with_row(profile, stats).select(
         *keys, *[_scaled(c, "mean_" + c) if scale_profile else F.col("mean_" + c).alias(c) for c in FEATURES]
     )
-    role = point.select(*keys, nearest(centroids).alias("role"))
-    return with_row(profile, role)
+    return with_row(profile, with_nearest(point, centroids).select(*keys, "role"))
 
 
 def bot_candidates(hosts: DataFrame, profile: DataFrame, seed: int = 0) -> DataFrame:

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hostweave.functions.columns import port_number
 from hostweave.operators import (
     distance,
     graph,
@@ -19,15 +20,16 @@ from hostweave.operators import (
     pagerank,
     params,
     peeling,
+    placing,
     roles,
     synth,
     triangles,
     validate,
 )
-from hostweave.operators.scale import checkpoint_folder, cut
+from hostweave.operators.scale import checkpoint_folder, cut, running_total
 from hostweave.plans import features, pipeline
 from hostweave.sources import flow_csv
-from hostweave.sources.schema import FEATURES
+from hostweave.sources.schema import FEATURES, FLOW_COLUMNS
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,6 +65,27 @@ CENTROIDS = [
 N_ROLES = 4
 
 
+# The same rows with what real logs have: missing ends and protocols, hexadecimal ports, and a wide text attribute.
+DIRTY_VIEW = """
+SELECT CAST(l_shipdate AS TIMESTAMP) AS start_time, l_tax AS dur,
+       CASE WHEN l_linenumber = 3 THEN NULL ELSE concat('p', CAST(l_orderkey % 150 AS STRING)) END AS proto,
+       CASE WHEN l_orderkey % 11 = 0 THEN NULL ELSE CAST(l_partkey AS STRING) END AS src_addr,
+       CASE WHEN l_orderkey % 3 = 0 THEN concat('0x', CAST(l_orderkey % 1000 AS STRING))
+            WHEN l_orderkey % 3 = 1 THEN concat('0x00000000000000000', CAST(l_orderkey % 100 AS STRING))
+            WHEN l_orderkey % 5 = 0 THEN '0x12345678901234567' ELSE 'none' END AS sport,
+       CASE l_linestatus WHEN 'F' THEN '->' ELSE '<->' END AS dir,
+       CASE WHEN l_orderkey % 7 = 0 THEN NULL ELSE CAST(l_suppkey AS STRING) END AS dst_addr,
+       CAST(l_linenumber AS STRING) AS dport, CAST(NULL AS STRING) AS state, CAST(NULL AS DOUBLE) AS s_tos,
+       CAST(NULL AS DOUBLE) AS d_tos, CAST(l_quantity AS BIGINT) AS tot_pkts,
+       CAST(floor(l_extendedprice) AS BIGINT) AS tot_bytes, CAST(l_quantity AS BIGINT) AS src_bytes, 'x' AS label
+FROM {table}
+"""
+
+
+def dirty_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(DIRTY_VIEW, table=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+
+
 def flows(spark: SparkSession, sf_dir: str, scenarios: bool = False) -> DataFrame:
     """The proxy flow log; with ``scenarios`` each return flag is a log of its own."""
     extra = ", l_returnflag AS scenario" if scenarios else ""
@@ -280,11 +303,8 @@ def stored_role_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The log against the synthetic edges made from its own parameters."""
-    made = synth_edges(spark, sf_dir).select(
-        F.col("src").cast("string").alias("src_addr"), F.col("dst").cast("string").alias("dst_addr")
-    )
-    return rounded(validate.validation_report(flows(spark, sf_dir), cut(made)), "score")
+    """One half of the log against the other."""
+    return rounded(validate.validation_report(*half_flows(spark, sf_dir)), "score")
 
 
 def validation_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -341,15 +361,185 @@ def flows_by_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return synth.flows_by_time(flows(spark, sf_dir))
 
 
+def fresh(spark: SparkSession, name: str) -> str:
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4()}"
+
+
 def flow_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each return flag written as a log of its own in one folder, and all read back together."""
-    folder = f"{checkpoint_folder(spark)}/logs-{uuid.uuid4()}"
+    """Every scenario written as a log of its own in one folder, and all read back together."""
+    folder = fresh(spark, "logs")
+    flow_csv.write_log(flows(spark, sf_dir, True), folder)
+    return flow_csv.read_flows(spark, folder)
+
+
+def flow_csv_many_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scenarios stored one after the other: a later one leaves the earlier ones as they are."""
+    folder, out = fresh(spark, "logs"), fresh(spark, "flows")
+    log = flows(spark, sf_dir, True)
+    flow_csv.write_log(log.where("dir = '->'"), f"{folder}/a")
+    flow_csv.write_log(log.where("dir <> '->'").withColumn("scenario", F.concat("scenario", F.lit("2"))), f"{folder}/b")
+    flow_csv.ingest(spark, f"{folder}/a", out)
+    return flow_csv.ingest(spark, f"{folder}/b", out).select("scenario", *log.drop("scenario").columns)
+
+
+def flow_csv_mixed_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs whose headers differ in order and case, read together."""
+    folder = fresh(spark, "logs")
+    log = flows(spark, sf_dir, True)
+    names = [header for header, _, _ in FLOW_COLUMNS]
+    flow_csv.write_log(log.where("dir = '->'"), f"{folder}/a")
+    flow_csv.write_log(log.where("dir <> '->'"), f"{folder}/b", [n.upper() if i % 2 else n.lower() for i, n in enumerate(reversed(names))])
+    return flow_csv.read_flows(spark, [f"{folder}/a", f"{folder}/b"])
+
+
+def flow_csv_concatenated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part files put together with their headers, beside an empty file."""
+    folder, joined = fresh(spark, "parts"), fresh(spark, "joined")
+    flow_csv.write_log(flows(spark, sf_dir).repartition(4), folder)
+    parts = spark.read.text(folder)
+    parts.coalesce(1).write.text(f"{joined}/all")
+    parts.limit(0).write.text(f"{joined}/none")
+    return flow_csv.read_flows(spark, [f"{joined}/all", f"{joined}/none"]).drop("scenario")
+
+
+def bracketed_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host pairs of a CSV that puts brackets around hosts and calls its columns otherwise."""
+    folder = fresh(spark, "pairs")
+    boxed = [F.concat(F.lit("["), c, F.lit("]")).alias(n) for c, n in (("src_addr", "Source"), ("dst_addr", "Destination"))]
+    flow_csv.write_csv(flows(spark, sf_dir).select("tot_pkts", *boxed), folder)
+    return flow_csv.read_pairs(spark, folder).select("src_addr", "dst_addr")
+
+
+def _stored_and_read(table: DataFrame, name: str, parts: list[str] | None = None) -> DataFrame:
+    folder = fresh(table.sparkSession, name)
+    flow_csv.write_table(table, folder, parts)
+    return flow_csv.read_table(table.sparkSession, folder).select(table.columns)
+
+
+def role_table_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored_and_read(fixed_roles(flows(spark, sf_dir)), "roles")
+
+
+def role_sizes_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored_and_read(role_sizes(spark, sf_dir), "sizes")
+
+
+def role_edges_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored_and_read(role_edges_by_scenario(spark, sf_dir), "role-edges")
+
+
+def degree_hist_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dense histogram written, and read without its empty cells."""
+    folder = fresh(spark, "histogram")
+    flow_csv.write_table(_hist2d(spark, sf_dir, dense=True), folder)
+    return flow_csv.read_histogram(spark, folder)
+
+
+def attr_hist_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One folder per attribute; an attribute without values has none."""
+    return _stored_and_read(attr_hist_all(spark, sf_dir), "attributes", ["attribute"])
+
+
+def bot_profile_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fresh(spark, "profile")
+    flow_csv.write_profile(fixed_profile(spark, sf_dir), folder)
+    names = ["role", "n_bots", "in_min", "in_max", "out_min", "out_max"]
+    read = spark.read.option("header", True).csv(folder)
+    return read.select(*[F.col(c).cast("int" if c == "role" else "long").alias(c) for c in names])
+
+
+def features_csv_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature table as CSV with a header, read back by name."""
+    table, folder = node_features(spark, sf_dir), fresh(spark, "features")
+    flow_csv.write_csv(table, folder)
+    kinds = dict(table.dtypes)
+    read = spark.read.option("header", True).csv(folder)
+    return read.select(*[F.col(c).cast(kinds[c]).alias(c) for c in table.columns])
+
+
+def _ranked_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of a written folder with their place in the concatenation of its files."""
+    lines = spark.read.text(folder).select("value", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("line"))
+    return running_total(cut(lines), F.lit(1), ["file", "line"], name="rank")
+
+
+def flows_csv_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place and day of every flow of the written CSV; lines of a header are left out first."""
+    folder = fresh(spark, "ordered")
+    log = flows(spark, sf_dir).select(F.date_format("start_time", "yyyy-MM-dd").alias("StartTime"), "src_addr", "dst_addr", "tot_bytes")
+    flow_csv.write_flows_csv(log, folder)
+    lines = spark.read.text(folder).select("value", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("line"))
+    rows = running_total(cut(lines.where("value not like 'StartTime%'")), F.lit(1), ["file", "line"], name="rank")
+    return rows.select("rank", F.substring_index("value", ",", 1).alias("day"))
+
+
+def distribution_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place and value of every line of a written distribution."""
+    folder = fresh(spark, "distribution")
+    flow_csv.write_distribution(graph.flow_degrees(flows(spark, sf_dir)), folder, "degree")
+    return _ranked_lines(spark, folder).select("rank", F.col("value").cast("long").alias("value"))
+
+
+def flow_degrees_null_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.flow_degrees(dirty_flows(spark, sf_dir))
+
+
+def attr_hist_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(histograms.attr_histograms(dirty_flows(spark, sf_dir)), "p", "lo", "hi")
+
+
+def role_edges_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six roles where four are expected."""
+    log = dirty_flows(spark, sf_dir)
+    hosts = graph.flow_degrees(log).select(F.col("id").alias("node"), (F.col("id").cast("long") % 6).cast("int").alias("role"))
+    return rounded(params.role_edges(log, cut(hosts), N_ROLES), "p_trans", "p_joint")
+
+
+def port_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dirty_flows(spark, sf_dir).groupBy("sport").agg(F.count("*").alias("n")).withColumn("port", port_number(F.col("sport")))
+
+
+def roles_kmeans_by_scenario(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return roles.cluster_roles(cut(features.node_features(flows(spark, sf_dir, True))), N_ROLES, seed=0)
+
+
+def bot_role_by_scenario(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The role of each log's mean bot among that log's own centres."""
     log = flows(spark, sf_dir, True)
-    paths = []
-    for flag in ("A", "N", "R"):
-        paths.append(f"{folder}/{flag}.binetflow")
-        flow_csv.write_log(log.where(F.col("scenario") == flag).drop("scenario"), paths[-1])
-    return flow_csv.read_flows(spark, paths)
+    table = cut(features.node_features(log))
+    centres = cut(roles.fit_centroids(cut(roles.zscore(table)), N_ROLES))
+    profile = roles.bot_role(roles.bot_profile(log, table), roles.feature_stats(table), centres)
+    return profile.select("scenario", "role", "n_bots")
+
+
+def validation_seven(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(validate.full_report(*half_flows(spark, sf_dir)), "score")
+
+
+def flow_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flows in each interval of the log's own histograms."""
+    log = flows(spark, sf_dir)
+    counts = cut(histograms.attribute_counts(log))
+    return placing.value_bins(counts, cut(histograms.quantile_histograms(counts)))
+
+
+def role_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = flows(spark, sf_dir)
+    return placing.role_offsets(params.role_degrees(log, fixed_roles(log)))
+
+
+def role_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty hosts of every role."""
+    log = flows(spark, sf_dir)
+    return placing.role_sample(cut(params.role_degrees(log, fixed_roles(log))), 20)
+
+
+def harmonic_hll_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each host's sketched value lies within five standard errors of the exact one."""
+    edge_list = stored_edges(spark, sf_dir)
+    exact = distance.harmonic_exact(edge_list).withColumnRenamed("harmonic", "exact")
+    near = F.abs(F.col("harmonic") - F.col("exact")) <= 5 * F.col("exact") / 256 + 1e-3
+    return distance.harmonic_sketch(edge_list).join(exact, "id").select("id", near.alias("near"))
 
 
 def queries() -> dict[str, Query]:
@@ -383,7 +573,7 @@ def queries() -> dict[str, Query]:
         "pagerank_converged": on_edges(lambda e: rounded(pagerank.pagerank_converged(e), "pagerank"), stored=True),
         "harmonic_bounded": on_edges(lambda e: rounded(distance.harmonic_exact(e), "harmonic", digits=4), stored=True),
         "harmonic_in": on_edges(
-            lambda e: rounded(distance.harmonic_exact(e, None, "in"), "harmonic", digits=4), stored=True
+            lambda e: rounded(distance.harmonic_exact(e, None, "in"), "harmonic"), stored=True
         ),
         "harmonic_hll": on_edges(distance.harmonic_sketch, stored=True),
         "betweenness": on_edges(lambda e: rounded(distance.betweenness(e), "betweenness"), stored=True),
@@ -435,4 +625,33 @@ def queries() -> dict[str, Query]:
         "sample_flows": sample_flows,
         "flows_by_time": flows_by_time,
         "flow_csv_roundtrip": flow_csv_roundtrip,
+        **{
+            q.__name__: q
+            for q in (
+                flow_csv_many_scenarios,
+                flow_csv_mixed_headers,
+                flow_csv_concatenated,
+                bracketed_hosts,
+                role_table_stored,
+                role_sizes_stored,
+                role_edges_stored,
+                degree_hist_stored,
+                attr_hist_stored,
+                bot_profile_stored,
+                features_csv_stored,
+                flows_csv_ordered,
+                distribution_stored,
+                flow_degrees_null_ends,
+                attr_hist_dirty,
+                role_edges_dirty,
+                port_numbers,
+                roles_kmeans_by_scenario,
+                bot_role_by_scenario,
+                validation_seven,
+                flow_bins,
+                role_offsets,
+                role_sample,
+                harmonic_hll_bound,
+            )
+        },
     }

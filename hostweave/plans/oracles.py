@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from hostweave.plans.catalog import CENTROIDS, FLOW_VIEW, N_ROLES
+from hostweave.plans.catalog import CENTROIDS, DIRTY_VIEW, FLOW_VIEW, N_ROLES
 from hostweave.sources.schema import ATTRIBUTES, BOT_LABEL, FEATURES, NORMAL_LABEL, SYNTH_COLUMNS
 
 FLOW_COLUMNS = (
@@ -13,6 +13,9 @@ FLOW_COLUMNS = (
 )
 
 
+TEXTS = ", ".join(f"'{name}'" for name, kind in ATTRIBUTES if kind == "text")
+
+
 def _hash_number(name: str, *key: str) -> str:
     return f"CAST('0x' || substr(md5(concat_ws(':', '0', '{name}', {', '.join(key)})), 1, 15) AS BIGINT)"
 
@@ -34,6 +37,10 @@ def _numeric(name: str, kind: str) -> str:
         return f"CAST(epoch(date_trunc('second', {name})) AS DOUBLE)"
     if kind == "text":
         return "CAST(NULL AS DOUBLE)"
+    if kind == "port":
+        digits = f"ltrim(substr({name}, 3), '0')"
+        value = f"CASE WHEN {digits} = '' THEN 0 WHEN length({digits}) <= 15 THEN CAST(TRY_CAST('0x' || {digits} AS BIGINT) AS DOUBLE) END"
+        return f"CASE WHEN {name} LIKE '0x%' THEN {value} ELSE TRY_CAST({name} AS DOUBLE) END"
     return f"TRY_CAST({name} AS DOUBLE)"
 
 
@@ -148,10 +155,10 @@ def _histograms(attrs: str, tag: str, k: str) -> dict[str, str]:
     return {
         f"asum{tag}": f"SELECT {k}attribute, count(*) AS n_rows, count(label) AS n_present, count(DISTINCT label) AS n_distinct FROM {attrs} GROUP BY ALL",
         f"cat{tag}": f"SELECT {ak}a.attribute, a.label, count(*) AS n, s.n_rows AS total FROM {attrs} a JOIN asum{tag} s ON a.attribute = s.attribute{on('a', 's')}"
-        " WHERE s.n_distinct <= 100 AND a.label IS NOT NULL GROUP BY ALL",
+        f" WHERE (s.n_distinct <= 100 OR a.attribute IN ({TEXTS})) AND a.label IS NOT NULL GROUP BY ALL",
         f"catb{tag}": f"SELECT {k}attribute, CAST(row_number() OVER (PARTITION BY {k}attribute ORDER BY n DESC, label) AS INT) AS bin, label, n, total FROM cat{tag}",
         f"srt{tag}": f"SELECT {ak}a.attribute, a.val, row_number() OVER (PARTITION BY {ak}a.attribute ORDER BY a.val) - 1 AS r, count(*) OVER (PARTITION BY {ak}a.attribute) AS total"
-        f" FROM {attrs} a JOIN asum{tag} s ON a.attribute = s.attribute{on('a', 's')} WHERE s.n_distinct > 100 AND a.val IS NOT NULL",
+        f" FROM {attrs} a JOIN asum{tag} s ON a.attribute = s.attribute{on('a', 's')} WHERE s.n_distinct > 100 AND a.attribute NOT IN ({TEXTS}) AND a.val IS NOT NULL",
         f"pts{tag}": f"SELECT t.*, q, k, ((total - 1) * k) // q AS r, (((total - 1) * k) % q) / q AS part FROM (SELECT DISTINCT {k}attribute, total FROM srt{tag}) t"
         " CROSS JOIN (SELECT unnest(range(1, 101)) AS q) CROSS JOIN (SELECT unnest(range(0, 101)) AS k) WHERE k <= q",
         f"edg{tag}": f"SELECT {pk}p.attribute, p.total, p.q, p.k, CASE WHEN p.part > 0 THEN lo.val + (hi.val - lo.val) * p.part ELSE lo.val END AS edge"
@@ -209,6 +216,40 @@ def _draws() -> tuple[str, str, str]:
     return numbers, joins, ", ".join(columns)
 
 
+def _lloyd(tag: str, k: str, rounds: int = 10) -> dict[str, str]:
+    """Centres that start at the first hosts in hash order and move, round by round."""
+    part = "PARTITION BY scenario " if k else ""
+    names = ", ".join(FEATURES)
+    first = f"row_number() OVER ({part}ORDER BY {_hash_number('start', 'id')}, id) - 1"
+    on = "AND x.scenario = c.scenario" if k else ""
+    xk = "x.scenario, " if k else ""
+    using = "(scenario, role)" if k else "(role)"
+    rounded = ", ".join(f"round({c}, 9) AS {c}" for c in FEATURES)
+    far = " + ".join(f"pow(x.{c} - c.{c}, 2)" for c in FEATURES)
+    out = {f"km{tag}0": f"SELECT {k}role, {rounded} FROM (SELECT *, {first} AS role FROM scaled{tag}) WHERE role < {N_ROLES}"}
+
+    def assigned(n: int) -> str:
+        return f"SELECT {xk}x.id, arg_min(c.role, ({far}, c.role)) AS role FROM scaled{tag} x JOIN km{tag}{n} c ON true {on} GROUP BY ALL"
+
+    for n in range(1, rounds + 1):
+        ids = "(scenario, id)" if k else "(id)"
+        means = ", ".join(f"round(avg(x.{c}), 9) AS {c}" for c in FEATURES)
+        out[f"ka{tag}{n}"] = assigned(n - 1)
+        out[f"kn{tag}{n}"] = f"SELECT {k}role, {means} FROM ka{tag}{n} JOIN scaled{tag} x USING {ids} GROUP BY ALL"
+        kept = ", ".join(f"coalesce(b.{c}, a.{c}) AS {c}" for c in FEATURES)
+        out[f"km{tag}{n}"] = f"SELECT {k}role, {kept} FROM km{tag}{n - 1} a LEFT JOIN kn{tag}{n} b USING {using}"
+    out[f"kc{tag}"] = f"SELECT * REPLACE (row_number() OVER ({part}ORDER BY {names}, role) - 1 AS role) FROM km{tag}{rounds}"
+    out[f"kr{tag}"] = assigned(0).replace(f"km{tag}0", f"kc{tag}")
+    return out
+
+
+def _renamed(ctes: dict[str, str], names: list[str], to: dict[str, str], tag: str) -> dict[str, str]:
+    """Copies of some tables under names with a tag, reading others that ``to`` names."""
+    every = {name: name + tag for name in names} | to
+    swap = lambda text: re.sub(r"[A-Za-z_0-9]+", lambda m: every.get(m[0], m[0]), text)
+    return {every[name]: swap(ctes[name]) for name in names}
+
+
 def _ctes() -> dict[str, str]:
     numbers, joins, columns = _draws()
     point = ", ".join(f"(x.{c} - m.avg_{c}) / CASE WHEN m.std_{c} = 0 THEN 1 ELSE m.std_{c} END AS {c}" for c in FEATURES)
@@ -274,7 +315,25 @@ def _ctes() -> dict[str, str]:
             FROM hosts h JOIN fprofile p ON h.role = p.role AND h.indegree BETWEEN p.in_min AND p.in_max AND h.outdegree BETWEEN p.out_min AND p.out_max) WHERE rn <= n_bots""",
         "drawn": f"SELECT *{numbers} FROM sedges",
         "sattrs": f"SELECT e.src, e.stub, e.dst, e.src_role, e.dst_role, {columns} FROM drawn e{joins}",
-        "sflows": "SELECT CAST(src AS VARCHAR) AS src_addr, CAST(dst AS VARCHAR) AS dst_addr FROM sedges",
+        "dirty": DIRTY_VIEW.format(table="lineitem"),
+        "attrs_d": _attributes("dirty", False),
+        **_histograms("attrs_d", "_d", ""),
+        "redges_d": "SELECT a.r AS src_role, b.r AS dst_role, count(f.src_addr) AS n FROM (SELECT CAST(unnest(range(6)) AS INT) AS r) a"
+        " CROSS JOIN (SELECT CAST(unnest(range(6)) AS INT) AS r) b LEFT JOIN dirty f ON CAST(f.src_addr AS BIGINT) % 6 = a.r AND CAST(f.dst_addr AS BIGINT) % 6 = b.r GROUP BY ALL",
+        "fends_d": "SELECT src_addr AS id, 0 AS i, 1 AS o FROM dirty UNION ALL SELECT dst_addr, 1, 0 FROM dirty",
+        "features_s": """
+            SELECT d.scenario, d.id, d.indegree, d.outdegree, a.d AS average_neighbor_degree, coalesce(i.t, 0) AS triangles,
+                   coalesce(2 * i.l / (n.n * (n.n - 1)), 0) AS clustering_coefficient, CAST(c.kcore AS INT) AS "kCore"
+            FROM deg_s d JOIN nbrdeg_s a USING (scenario, id) LEFT JOIN nbn_s n USING (scenario, id)
+                 LEFT JOIN inner_t_s i USING (scenario, id) JOIN kcore_ts c USING (scenario, id)""",
+        "means_s": "SELECT scenario, " + ", ".join(f'avg("{c}") AS avg_{c}, stddev_pop("{c}") AS std_{c}' for c in FEATURES) + " FROM features_s GROUP BY scenario",
+        "scaled_s": f"SELECT x.scenario, x.id, {point} FROM features_s x JOIN means_s m USING (scenario)",
+        **_lloyd("", ""),
+        **_lloyd("_s", "scenario, "),
+        "bots_s": "SELECT DISTINCT scenario, src_addr AS id FROM flows_s WHERE contains(label, 'Botnet')",
+        "profile_s": "SELECT scenario, count(b.id) AS n_bots, "
+        + ", ".join(f'avg("{c}") AS mean_{c}' for c in FEATURES)
+        + " FROM (SELECT DISTINCT scenario FROM flows_s) s LEFT JOIN bots_s b USING (scenario) LEFT JOIN features_s f USING (scenario, id) GROUP BY scenario",
         "half1": "SELECT * FROM flows WHERE dir = '->'",
         "half2": "SELECT * FROM flows WHERE dir = '<->'",
         "half1_s": "SELECT * FROM flows_s WHERE dir = '->'",
@@ -327,6 +386,8 @@ RECURSIVE = {
     "st_s": "(rnd, k, scenario, id, val, act)",
     "hidx": "(rnd, id, est, chg)",
     "pr": "(rnd, id, x, err)",
+    **{f"hidx_h{n}": "(rnd, id, est, chg)" for n in (1, 2)},
+    **{f"pr_h{n}": "(rnd, id, x, err)" for n in (1, 2)},
 }
 
 
@@ -379,6 +440,8 @@ def oracle_sql() -> dict[str, str]:
         SELECT v.s AS id, sum(a.w * b.w / p.w) AS c FROM (SELECT id AS s FROM deg) v
         JOIN d6 a ON a.t = v.s AND a.s <> v.s JOIN d6 b ON b.s = v.s AND b.t <> v.s
         JOIN d6 p ON p.s = a.s AND p.t = b.t AND p.d = a.d + b.d AND p.s <> p.t GROUP BY v.s"""
+    ctes["pivots"] = f"SELECT id FROM deg ORDER BY {_hash_number('pivot', 'id')}, id LIMIT 64"
+    ctes["btp"] = ctes["bt"].replace("GROUP BY v.s", "WHERE a.s IN (SELECT id FROM pivots) GROUP BY v.s")
     ctes["canon1"] = "SELECT DISTINCT src_addr AS src, dst_addr AS dst FROM half1"
     ctes["canon2"] = "SELECT DISTINCT src_addr AS src, dst_addr AS dst FROM half2"
     for tag in ("1", "2"):
@@ -390,6 +453,19 @@ def oracle_sql() -> dict[str, str]:
             + f" UNION ALL SELECT 'clustering_undirected', coalesce(2 * i.t / (n.n * (n.n - 1)), 0)"
             + f" FROM deg_h{tag} d LEFT JOIN nbn_h{tag} n USING (id) LEFT JOIN inner_t_h{tag} i USING (id)"
         )
+    for tag in ("1", "2"):
+        to = {"edges": f"canon{tag}", "flows": f"half{tag}"} | {n: f"{n}_h{tag}" for n in ("ends", "deg", "nb", "nbn", "inner_t")}
+        ctes.update(_renamed(ctes, ["fends", "fdeg", "sym", "symdeg", "pr", "hidx", "core_t"], to, f"_h{tag}"))
+        ctes[f"seven{tag}"] = (
+            _degree_rows(f"half{tag}", "", False)
+            + f" UNION ALL SELECT 'avg_successor_degree', coalesce(sum(t.outdegree), 0) / greatest(any_value(d.outdegree), 1)"
+            f" FROM fdeg_h{tag} d LEFT JOIN canon{tag} e ON e.src = d.id LEFT JOIN fdeg_h{tag} t ON t.id = e.dst GROUP BY d.id"
+            f" UNION ALL SELECT 'pagerank', x FROM pr_h{tag} WHERE rnd = (SELECT max(rnd) FROM pr_h{tag})"
+            f" UNION ALL SELECT 'triangles', coalesce(i.t, 0) FROM deg_h{tag} d LEFT JOIN inner_t_h{tag} i USING (id)"
+            f" UNION ALL SELECT 'clustering_undirected', coalesce(2 * i.t / (n.n * (n.n - 1)), 0)"
+            f" FROM deg_h{tag} d LEFT JOIN nbn_h{tag} n USING (id) LEFT JOIN inner_t_h{tag} i USING (id)"
+            f" UNION ALL SELECT 'core', core FROM core_t_h{tag}"
+        )
     features_s = """
         SELECT d.scenario, d.id, d.indegree, d.outdegree,
                round(a.d, 9) AS average_neighbor_degree, coalesce(i.t, 0) AS triangles,
@@ -435,8 +511,10 @@ def oracle_sql() -> dict[str, str]:
         "pagerank_converged": "SELECT id, round(x, 9) AS pagerank FROM pr WHERE rnd = (SELECT max(rnd) FROM pr)",
         "harmonic_bounded": "SELECT id, round(coalesce(sum(round(n / d, 5)), 0), 4) AS harmonic FROM (SELECT id FROM deg) LEFT JOIN"
         " (SELECT t AS id, d, count(*) AS n FROM u6 WHERE d > 0 GROUP BY ALL) USING (id) GROUP BY id",
-        "harmonic_in": "SELECT id, round(coalesce(sum(round(n / d, 5)), 0), 4) AS harmonic FROM (SELECT id FROM deg) LEFT JOIN"
+        "harmonic_in": "SELECT id, round(coalesce(sum(n / d), 0), 9) AS harmonic FROM (SELECT id FROM deg) LEFT JOIN"
         " (SELECT t AS id, d, count(*) AS n FROM d6 WHERE d > 0 GROUP BY ALL) USING (id) GROUP BY id",
+        "betweenness_pivots": "SELECT d.id, round(coalesce(c, 0) * n / least(n, 64) / ((n - 1) * (n - 2)), 9) AS betweenness"
+        " FROM deg d CROSS JOIN (SELECT CAST(count(*) AS DOUBLE) AS n FROM deg) LEFT JOIN btp USING (id)",
         "betweenness": "SELECT d.id, round(coalesce(c, 0) / (((SELECT count(*) FROM deg) - 1) * ((SELECT count(*) FROM deg) - 2)), 9) AS betweenness"
         " FROM deg d LEFT JOIN bt USING (id)",
         "basic_features": "SELECT id, indegree, outdegree, round(a.d, 9) AS average_neighbor_degree"
@@ -479,12 +557,42 @@ def oracle_sql() -> dict[str, str]:
         "sample_flows": f"SELECT * FROM flows WHERE NOT (contains(label, 'otnet') OR contains(label, 'alicious')) ORDER BY {_order()} LIMIT 50",
         "flows_by_time": "SELECT * FROM flows",
         "flow_csv_roundtrip": "SELECT * FROM flows_s",
+        "flow_csv_many_scenarios": "SELECT * REPLACE (CASE WHEN dir = '->' THEN scenario ELSE scenario || '2' END AS scenario) FROM flows_s",
+        "flow_csv_mixed_headers": "SELECT * FROM flows_s",
+        "flow_csv_concatenated": "SELECT * FROM flows",
+        "bracketed_hosts": "SELECT src_addr, dst_addr FROM flows",
+        "role_table_stored": "SELECT * FROM roles",
+        "role_sizes_stored": "SELECT role, n_nodes FROM sizes",
+        "role_edges_stored": "SELECT * REPLACE (round(p_trans, 9) AS p_trans, round(p_joint, 9) AS p_joint) FROM rprob_s",
+        "degree_hist_stored": "SELECT * FROM hist",
+        "attr_hist_stored": "SELECT * REPLACE (round(lo, 9) AS lo, round(hi, 9) AS hi, round(p, 9) AS p) FROM allh",
+        "bot_profile_stored": "SELECT * FROM fprofile",
+        "features_csv_stored": "SELECT * REPLACE (round(average_neighbor_degree, 9) AS average_neighbor_degree, round(clustering_coefficient, 9) AS clustering_coefficient) FROM features",
+        "flows_csv_ordered": "SELECT row_number() OVER (ORDER BY start_time) - 1 AS rank, strftime(start_time, '%Y-%m-%d') AS day FROM flows",
+        "distribution_stored": "SELECT row_number() OVER (ORDER BY degree) - 1 AS rank, degree AS value FROM fdeg",
+        "flow_degrees_null_ends": "SELECT id, CAST(sum(i) AS BIGINT) AS indegree, CAST(sum(o) AS BIGINT) AS outdegree, count(*) AS degree FROM fends_d WHERE id IS NOT NULL GROUP BY id",
+        "attr_hist_dirty": "SELECT * REPLACE (round(lo, 9) AS lo, round(hi, 9) AS hi, round(p, 9) AS p) FROM allh_d",
+        "role_edges_dirty": "SELECT src_role, dst_role, n, round(n / sum(n) OVER (PARTITION BY src_role), 9) AS p_trans, round(n / sum(n) OVER (), 9) AS p_joint FROM redges_d",
+        "port_numbers": f"SELECT sport, count(*) AS n, {_numeric('sport', 'port')} AS port FROM dirty GROUP BY sport",
+        "roles_kmeans": "SELECT id AS node, CAST(role AS INT) AS role FROM kr",
+        "roles_kmeans_by_scenario": "SELECT scenario, id AS node, CAST(role AS INT) AS role FROM kr_s",
+        "bot_role_by_scenario": "SELECT x.scenario, CASE WHEN any_value(n_bots) > 0 THEN CAST(arg_min(c.role, ("
+        + " + ".join(f"pow(x.{c} - c.{c}, 2)" for c in FEATURES)
+        + ", c.role)) AS INT) END AS role, any_value(n_bots) AS n_bots FROM (SELECT p.scenario, p.n_bots, "
+        + ", ".join(f"(p.mean_{c} - m.avg_{c}) / CASE WHEN m.std_{c} = 0 THEN 1 ELSE m.std_{c} END AS {c}" for c in FEATURES)
+        + " FROM profile_s p JOIN means_s m USING (scenario)) x JOIN kc_s c USING (scenario) GROUP BY x.scenario",
+        "flow_bins": "SELECT attribute, bin, n FROM qnt",
+        "role_offsets": "SELECT role, id, CAST(coalesce(sum(indegree) OVER w, 0) AS BIGINT) AS first, CAST(coalesce(sum(indegree) OVER w, 0) + indegree AS BIGINT) AS upto"
+        " FROM rdeg WINDOW w AS (PARTITION BY role ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",
+        "role_sample": f"SELECT role, id FROM (SELECT role, id, row_number() OVER (PARTITION BY role ORDER BY {_hash_number('sample', 'id')}, id) AS rn FROM rdeg) WHERE rn <= 20",
+        "harmonic_hll_bound": "SELECT id, true AS near FROM deg",
     }
     result = {name: _query(final, ctes) for name, final in sql.items()}
     reports = {
         "hist_equal_width": (_degree_rows("half1", "", True), _degree_rows("half2", "", True), "", "SELECT * FROM ewh"),
         "hist_intersection": ("SELECT * FROM prop1", "SELECT * FROM prop2", "", "SELECT * FROM report_"),
-        "validation_report": (_degree_rows("flows", "", False), _degree_rows("sflows", "", False), "", "SELECT * FROM report_"),
+        "validation_report": (_degree_rows("half1", "", False), _degree_rows("half2", "", False), "", "SELECT * FROM report_"),
+        "validation_seven": ("SELECT property, round(val, 7) AS val FROM seven1", "SELECT property, round(val, 7) AS val FROM seven2", "", "SELECT * FROM report_"),
         "validation_halves": (
             _degree_rows("half1_s", "scenario, ", False),
             _degree_rows("half2_s", "scenario, ", False),

@@ -26,11 +26,11 @@ class Model:
 
 
 def estimate(flows: DataFrame, n_roles: int = 4, n_bins: int = 200, seed: int = 0) -> Model:
-    """Roles by k-means, bot profile, role parameters and attribute histograms of one log."""
+    """Roles by k-means, bot profile, role parameters and attribute histograms of all logs, each scenario by itself."""
     features = cut(node_features(flows))
     stats = roles.feature_stats(features)
     scaled = cut(roles.zscore(features))
-    centroids = roles.fit_centroids(scaled, n_roles, seed)
+    centroids = cut(roles.fit_centroids(scaled, n_roles, seed))
     table = cut(roles.assign_roles(scaled, centroids))
     profile = cut(roles.bot_role(roles.bot_profile(flows, features), stats, centroids))
     return estimate_with_roles(flows, table, profile, n_roles, n_bins)

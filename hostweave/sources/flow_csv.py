@@ -25,7 +25,7 @@ def file_headers(spark: SparkSession, path: str | list[str], needed: list[str])
 
     Raises if a file with lines has no header, or several different ones.
     """
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
     is_header = F.lit(True)
     for name in needed:
         is_header &= F.array_contains(_fields(F.col("value")), name.lower())
@@ -58,7 +58,7 @@ def read_text_columns(spark: SparkSession, path: str | list[str], needed: list[s
             raise ValueError(f"{files[0]}: the header repeats a name")
         schema = ", ".join(f"`{n}` STRING" for n in names)
         reader = spark.read.option("header", True).option("enforceSchema", True).option("ignoreCorruptFiles", False)
-        part = reader.schema(schema).csv(files)
+        part = reader.option("recursiveFileLookup", True).schema(schema).csv(files)
         part = part.select(*[F.col(f"`{n}`").alias(n.lower()) for n in names], scenario_of(F.col("_metadata.file_path")).alias("scenario"))
         again = reduce(and_, [F.lower(F.btrim(n)).eqNullSafe(n) for n in map(str.lower, needed)])
         parts.append(part.where(~again))
@@ -71,7 +71,7 @@ def read_text_columns(spark: SparkSession, path: str | list[str], needed: list[s
 def check_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, rows, skipped): every file under ``path``, its lines, and whether it cannot be read to its end."""
     rows = []
-    for file in sorted(spark.read.text(path).inputFiles()):
+    for file in sorted(spark.read.option("recursiveFileLookup", True).text(path).inputFiles()):
         try:
             rows.append((file, spark.read.option("ignoreCorruptFiles", False).text(file).count(), False))
         except Exception as error:  # a broken file fails in many ways, all inside the job
