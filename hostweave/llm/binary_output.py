@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hostweave.llm import kernel
-from hostweave.llm.storage import new_folder, stored, table_bytes
+from hostweave.llm.storage import new_folder, small_batches, stored, table_bytes
 from hostweave.operators.scale import running_total
 
 # Bytes of input per file aimed at.
@@ -361,9 +361,10 @@ def write(documents: DataFrame, tokenizer: str, folder: str | None = None, key:
     spark = documents.sparkSession
     folder = folder or new_folder(spark, "records")
     tie = F.xxhash64("text")
-    rows = documents.select(F.col(key).cast("long").alias("key"), "text")
+    rows = small_batches(documents).select(F.col(key).cast("long").alias("key"), "text")
     ordered = rows.repartitionByRange(partitions(documents), "key", tie).sortWithinPartitions("key", tie)
 
+    @kernel.task
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batch = next(batches, None)
         if batch is None:
@@ -402,6 +403,7 @@ def _each_shard(files: Files, use: Callable, schema: str, shards: DataFrame | No
     folder = files.folder
     n = max(1, files.shards.count())
 
+    @kernel.task
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, *more in zip(*(c.to_pylist() for c in batch.columns), strict=True):

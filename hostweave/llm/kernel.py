@@ -7,6 +7,8 @@ its texts end to end, ``offsets`` where each text starts (and the last ends).
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,6 +28,7 @@ MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 BYTE_VALUES = np.random.Generator(np.random.PCG64(20_011)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 _powers: dict[str, np.ndarray] = {}
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -50,6 +53,26 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
+def release() -> None:
+    """Give memory that is free in this process back to the machine."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def task(function):
+    """For functions over the batches of a task: processes live on between tasks, but keep no memory they don't need."""
+
+    @functools.wraps(function)
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            release()
+
+    return run
+
+
 def as_text(column: pa.Array) -> pa.Array:
     """The column as text with 64-bit offsets, null as empty."""
     if isinstance(column, pa.ChunkedArray):

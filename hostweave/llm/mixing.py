@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hostweave.llm import kernel
-from hostweave.llm.storage import stored
+from hostweave.llm.storage import small_batches, stored
 from hostweave.operators.scale import running_total
 
 WEIGHTS = (1, 2, 3)
@@ -43,6 +43,7 @@ def order_key(key: str, seed: int) -> Column:
 def sizes(documents: DataFrame, key: str = "doc_id", source: str = "source", seed: int = SEED) -> DataFrame:
     """(doc_id, from, turn, size): words of every row, its source and its place in the order."""
 
+    @kernel.task
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in kernel.pieces(kernel.as_text(batch.column("text"))):
@@ -51,7 +52,7 @@ def sizes(documents: DataFrame, key: str = "doc_id", source: str = "source", see
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("from"), part.column("turn"), pa.array(n)], ["doc_id", "from", "turn", "size"])
 
     kind = documents.schema[key].dataType.simpleString()
-    rows = documents.select(F.col(key).alias("doc_id"), source_key(source).alias("from"), order_key(key, seed).alias("turn"), "text")
+    rows = small_batches(documents).select(F.col(key).alias("doc_id"), source_key(source).alias("from"), order_key(key, seed).alias("turn"), "text")
     return rows.mapInArrow(counted, f"doc_id {kind}, `from` string, turn string, size long")
 
 

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hostweave.llm import kernel
 from hostweave.llm.storage import stored
 
 # Bounds of the index: vectors it is fitted on, and lists.
@@ -45,6 +46,7 @@ def usable(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -
     common = vectors.where(F.col(vector).isNotNull()).groupBy(size.alias("n")).count().orderBy(F.desc("count"), "n").first()
     length = common["n"] if common else 0
 
+    @kernel.task
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column("v")
@@ -212,6 +214,7 @@ def build(vectors: DataFrame, k: int, sample: int = SAMPLE_VECTORS, most_lists:
     lists = 1 << max(0, round(math.log2(min(most_lists, max(1.0, 2.0 * math.sqrt(n)), max(1, len(x) // 8)))))
     graph = Graph.build(balanced_centroids(x, lists))
 
+    @kernel.task
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
@@ -226,6 +229,7 @@ def build(vectors: DataFrame, k: int, sample: int = SAMPLE_VECTORS, most_lists:
 def compare(units: DataFrame, k: int) -> DataFrame:
     """(query_id, vec_id, score): the best ``k`` of each query in each unit. Units are sorted, queries first."""
 
+    @kernel.task
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
         unit_, names, q, norm = None, np.zeros(0, np.int64), np.zeros((0, 0)), np.zeros(0)
@@ -282,6 +286,7 @@ def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
     if graph is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
 
+    @kernel.task
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from hostweave.llm import kernel
 from hostweave.llm.components import components
-from hostweave.llm.storage import stored
+from hostweave.llm.storage import small_batches, stored
 from hostweave.operators.scale import partitions_for
 
 N, THRESHOLD = 5, 0.8
@@ -92,6 +92,7 @@ def signatures(h: np.ndarray, first: np.ndarray, bands: int, rows: int) -> np.nd
 def describe(documents: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     """(doc_id, tag, key, size, bands) of every row; tag is a hash of the text, key null without words."""
 
+    @kernel.task
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in kernel.pieces(kernel.as_text(batch.column("text"))):
@@ -117,7 +118,7 @@ def describe(documents: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 )
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    rows_ = documents.select("doc_id", F.xxhash64("text").alias("tag"), "text")
+    rows_ = small_batches(documents).select("doc_id", F.xxhash64("text").alias("tag"), "text")
     return rows_.mapInArrow(described, f"doc_id {kind}, tag long, key binary, size long, bands array<long>")
 
 
@@ -129,6 +130,7 @@ def _id(column: str = "doc_id"):
 def full_sets(documents: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """(key, grams) of the classes in ``wanted`` (key, doc_id, tag), from the text of one document each."""
 
+    @kernel.task
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in kernel.pieces(kernel.as_text(batch.column("text"))):
@@ -206,6 +208,7 @@ def shared_counts(lists: list[np.ndarray]) -> np.ndarray:
 def verify(units: DataFrame, threshold: float) -> DataFrame:
     """Compare the classes of each unit; ``units`` is partitioned and sorted by unit."""
 
+    @kernel.task
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("key", pa.binary()), ("n_classes", pa.int64()), ("n_linked", pa.int64()), ("root", pa.binary())])
         held: list[dict] = []
@@ -226,7 +229,7 @@ def verify(units: DataFrame, threshold: float) -> DataFrame:
                 held.clear()
 
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (r for at in range(0, batch.num_rows, 256) for r in batch.slice(at, 256).to_pylist()):
                 if held and (row["bucket"], row["left"], row["right"]) != (held[0]["bucket"], held[0]["left"], held[0]["right"]):
                     close()
                 held.append(row)

@@ -16,11 +16,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hostweave.llm import crf, kernel
-from hostweave.llm.storage import stored
+from hostweave.llm.storage import small_batches, stored
 
 # Bounds of what the field is fitted on: documents, and windows of tokens from them.
 SAMPLE_ROWS, SAMPLE_WINDOWS = 24_000, 6_000
@@ -185,6 +186,7 @@ def fit(documents: DataFrame, rows: int = SAMPLE_ROWS, windows: int = SAMPLE_WIN
     """Fit on windows of tokens around matches, and on as many others, from documents in hash order."""
     keys = documents.select(F.xxhash64("doc_id").alias("_h"), "doc_id").where("doc_id IS NOT NULL").orderBy("_h").limit(rows).select("doc_id").distinct()
 
+    @kernel.task
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys_ = batch.column("h").to_numpy()
@@ -210,7 +212,7 @@ def fit(documents: DataFrame, rows: int = SAMPLE_ROWS, windows: int = SAMPLE_WIN
                     yield pa.RecordBatch.from_pylist(out, pa.schema([("hit", pa.int32()), ("h", pa.int64()), ("x", pa.list_(pa.int16())), ("y", pa.list_(pa.int32()))]))
 
     # at most ``rows`` ids
-    sample = documents.join(F.broadcast(keys), "doc_id").select(F.xxhash64("doc_id").alias("h"), "text")
+    sample = small_batches(documents).join(F.broadcast(keys), "doc_id").select(F.xxhash64("doc_id").alias("h"), "text")
     found = sample.mapInArrow(cut, "hit int, h long, x array<smallint>, y array<int>")
     # both kinds in hash order; the limits are those of the sample
     found = stored(found, "windows")
@@ -269,6 +271,7 @@ def _points(text: bytes, found: list[tuple[int, int, int]]) -> list[tuple[int, i
 def scan(documents: DataFrame, model: crf.Chain) -> DataFrame:
     """(doc_id, spans) of every row; spans are structs of kind, start and end."""
 
+    @kernel.task
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
@@ -281,12 +284,13 @@ def scan(documents: DataFrame, model: crf.Chain) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(rows, kind)], ["doc_id", "spans"])
 
     key = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(found, f"doc_id {key}, spans array<struct<kind:string,start:int,end:int>>")
+    return small_batches(documents).select("doc_id", "text").mapInArrow(found, f"doc_id {key}, spans array<struct<kind:string,start:int,end:int>>")
 
 
 def masked(documents: DataFrame, model: crf.Chain) -> DataFrame:
     """All rows and columns of documents; every character of a secret is an asterisk."""
 
+    @kernel.task
     def hidden(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.schema.get_field_index("text")
@@ -299,13 +303,14 @@ def masked(documents: DataFrame, model: crf.Chain) -> DataFrame:
                         text[s:e] = "*" * (e - s)
                     changed[a + i] = "".join(text)
             if changed:
-                texts = batch.column("text").to_pylist()
-                for i, text in changed.items():
-                    texts[i] = text
-                batch = batch.set_column(column, batch.schema.field(column), pa.array(texts, batch.schema.field(column).type))
+                where = np.zeros(batch.num_rows, bool)
+                where[list(changed)] = True
+                field = batch.schema.field(column)
+                texts = pa.array([changed[i] for i in sorted(changed)], field.type)
+                batch = batch.set_column(column, field, pc.replace_with_mask(batch.column(column), pa.array(where), texts))
             yield batch
 
-    return documents.mapInArrow(hidden, documents.schema)
+    return small_batches(documents).mapInArrow(hidden, documents.schema)
 
 
 def digest(spans_: str = "spans") -> dict:

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hostweave.llm import kernel
+from hostweave.llm.storage import small_batches
 
 K = 2
 SEED = 17
@@ -445,12 +446,13 @@ def _drawn(sampler: Sampler, data: np.ndarray, offsets: np.ndarray, seed: np.nda
 
 
 def _rows(documents: DataFrame, key: str, seed: int) -> DataFrame:
-    return documents.select(F.col(key).alias("key"), F.xxhash64(F.col(key).cast("string"), F.lit(seed)).alias("seed"), "text")
+    return small_batches(documents).select(F.col(key).alias("key"), F.xxhash64(F.col(key).cast("string"), F.lit(seed)).alias("seed"), "text")
 
 
 def sample(documents: DataFrame, model: str, k: int = K, seed: int = SEED, key: str = "doc_id") -> DataFrame:
     """(key, sample, ids, log_probability, perturbed, log_inclusion): up to ``k`` rows for each row of documents."""
 
+    @kernel.task
     def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = sampler_of(model, k)
         for batch in batches:
@@ -476,6 +478,7 @@ def sample(documents: DataFrame, model: str, k: int = K, seed: int = SEED, key:
 def digests(documents: DataFrame, model: str, k: int = K, seed: int = SEED, key: str = "doc_id") -> DataFrame:
     """As ``sample``, with the number of ids, their CRC-32 as uint32, and whether decoding them gives the text."""
 
+    @kernel.task
     def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = sampler_of(model, k)
         for batch in batches:
@@ -515,6 +518,7 @@ def digests(documents: DataFrame, model: str, k: int = K, seed: int = SEED, key:
 def encode(documents: DataFrame, model: str, key: str = "doc_id") -> DataFrame:
     """(key, ids): the model's own segmentation of every row's text."""
 
+    @kernel.task
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import sentencepiece
 
@@ -526,12 +530,13 @@ def encode(documents: DataFrame, model: str, key: str = "doc_id") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("key").slice(a, b - a), pa.array(ids, pa.list_(pa.int32()))], ["key", "ids"])
 
     kind = documents.schema[key].dataType.simpleString()
-    return documents.select(F.col(key).alias("key"), "text").mapInArrow(encoded, f"key {kind}, ids array<int>")
+    return small_batches(documents).select(F.col(key).alias("key"), "text").mapInArrow(encoded, f"key {kind}, ids array<int>")
 
 
 def decode(rows: DataFrame, model: str) -> DataFrame:
     """All columns of ``rows`` (with ``ids``), and ``decoded``: the text of the ids, null for null."""
 
+    @kernel.task
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import sentencepiece
 

@@ -10,6 +10,19 @@ from pyspark.sql import functions as F
 from hostweave.operators.scale import checkpoint_folder
 
 
+# Rows that go to Python together, where the session does not say.
+BATCH_ROWS = 2_000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """The table itself, in a session that hands few long texts to Python at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark = df.sparkSession
+    if not spark.sparkContext.getConf().contains(name) and int(spark.conf.get(name)) == 10_000:
+        spark.conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """Address of a new folder under ``spark.checkpoint.dir``."""
     return f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

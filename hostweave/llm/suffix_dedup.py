@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hostweave.llm import kernel
-from hostweave.llm.storage import stored, table_bytes
+from hostweave.llm.storage import small_batches, stored, table_bytes
 from hostweave.llm.suffix_runs import encode_run, merge_runs
 
 LENGTH = 200
@@ -86,12 +86,13 @@ def _segments(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tu
 
 
 def _bucketed(documents: DataFrame, buckets: int) -> DataFrame:
-    return documents.select(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(buckets)).cast("int").alias("bucket"), "doc_id", "text")
+    return small_batches(documents).select(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(buckets)).cast("int").alias("bucket"), "doc_id", "text")
 
 
 def describe(rows: DataFrame, length: int) -> DataFrame:
     """(bucket, near, full, n) of the anchors, n 2 if the context stands more than once; equal ones of a batch once."""
 
+    @kernel.task
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bucket = batch.column("bucket").to_numpy()
@@ -178,6 +179,7 @@ def sorted_runs(placed: DataFrame, parts: int, length: int) -> DataFrame:
     A load is near and full (8 bytes each), the bytes before the anchor, and the number of those.
     """
 
+    @kernel.task
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("part", pa.int32()), ("run", pa.binary()), ("x", pa.int64()), ("y", pa.int64()), ("near", pa.int64()), ("full", pa.int64()), ("offset", pa.int32())])
         entries: dict[int, list[tuple[bytes, bytes]]] = {}
@@ -271,6 +273,7 @@ def equal_offsets(shared: np.ndarray, left: list[bytes], low: np.ndarray, high:
 def merged(runs: DataFrame, length: int) -> DataFrame:
     """(near, full, low, high): the offsets at which contexts have strings that others have; runs are sorted by part."""
 
+    @kernel.task
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close(held: list[bytes]) -> Iterator[pa.RecordBatch]:
             shared, loads, sizes = [], [], []
@@ -305,6 +308,7 @@ def merged(runs: DataFrame, length: int) -> DataFrame:
 def _cut(placed: DataFrame, key: str, length: int, keep: bool) -> DataFrame:
     """Documents without the covered bytes; ``placed`` has each bucket's verdicts before its documents."""
 
+    @kernel.task
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, notes, documents in _walk(batches, ["low", "high"]):
             if documents is None:

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hostweave.llm import boosting, kernel
+from hostweave.llm.storage import small_batches
 
 # Bound of the labelled rows that are fitted on.
 SAMPLE_ROWS = 24_000
@@ -180,7 +181,7 @@ def training_rows(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_RO
         .limit(rows)
     )
     # at most ``rows`` pairs of numbers
-    return documents.select("doc_id", "text").join(F.broadcast(known), "doc_id").withColumn(
+    return small_batches(documents).select("doc_id", "text").join(F.broadcast(known), "doc_id").withColumn(
         "part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(5)).cast("int")
     )
 
@@ -189,6 +190,7 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Mod
     """Fit lexicon (parts 0 and 1), trees (2 and 3) and calibration (4) on the sample."""
     sample = training_rows(documents, labels, rows).select("toxic", "part", "text")
 
+    @kernel.task
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             toxic = batch.column("toxic").to_numpy(zero_copy_only=False)
@@ -217,6 +219,7 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Mod
     toxic, n = words["n_toxic"].to_numpy(float)[order], words["n"].to_numpy(float)[order]
     weights = np.log((toxic + 0.5) / (n - toxic + 0.5))
 
+    @kernel.task
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in kernel.pieces(kernel.as_text(batch.column("text"))):
@@ -239,6 +242,7 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Mod
 def score(documents: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) of every row of documents."""
 
+    @kernel.task
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in kernel.pieces(kernel.as_text(batch.column("text"))):
@@ -247,15 +251,16 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
                 )
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(scored, f"doc_id {kind}, score double")
+    return small_batches(documents).select("doc_id", "text").mapInArrow(scored, f"doc_id {kind}, score double")
 
 
 def accepted(documents: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """The rows of documents, all columns, whose score is below the threshold."""
 
+    @kernel.task
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = [model.score(data, offsets) < threshold for _, _, data, offsets in kernel.pieces(kernel.as_text(batch.column("text")))]
             yield batch.filter(pa.array(np.concatenate(good))) if good else batch
 
-    return documents.mapInArrow(kept, documents.schema)
+    return small_batches(documents).mapInArrow(kept, documents.schema)
