@@ -32,7 +32,7 @@ N, THRESHOLD = 5, 0.8
 # Chance that a pair right at the threshold shares no band, and most hash functions.
 MISS, MOST_HASHES = 1e-4, 128
 # Classes and n-grams in a block of a bucket.
-BLOCK_CLASSES, BLOCK_GRAMS = 1_000, 1_000_000
+BLOCK_CLASSES, BLOCK_GRAMS = 300, 1_000_000
 # Columns of the count matrix at once.
 COLUMNS = 4_096
 
