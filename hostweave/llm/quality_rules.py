@@ -23,6 +23,8 @@ SAMPLE_ROWS = 2_000
 WINDOW_WORDS = 8
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
+# A word that the next one repeats.
+DOUBLED = r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+(?=\1(?![^\x20\x09-\x0D]))"
 
 
 @dataclass(frozen=True)
@@ -109,7 +111,8 @@ def standard_rules() -> list[Rule]:
     return [
         Rule("word_length", ~(F.col("word_chars") / n).between(2, 16)),
         Rule("symbols", 10 * F.col("n_symbols") > 3 * n),
-        Rule("repeated_lines", 10 * F.col("n_dup_lines") > 3 * F.col("n_lines")),
+        Rule("repeated_lines", 10 * F.col("n_dup_lines") > 6 * F.col("n_lines")),
+        Rule("doubled_words", 10 * lines_like(DOUBLED) > 3 * n),
         Rule("bullets", 10 * lines_like(r"(?m)^[ \t]*[-*•●]") > 9 * F.col("n_lines")),
         Rule("cut_lines", 10 * lines_like(r"(?m)(?:\.\.\.|…)[ \t]*$") > 3 * F.col("n_lines")),
         Rule("letters", 10 * lines_like(r"(?:^|[\x20\x09-\x0D])[^\x20\x09-\x0D\p{L}]+(?=$|[\x20\x09-\x0D])") > 4 * n),

@@ -90,16 +90,17 @@ WITH {WORDS},
     windows AS (SELECT r, i, array_to_string(w[i + 1 : i + 8], ' ') AS x FROM words WHERE i <= len(w) - 8),
     twice AS (SELECT r, x FROM windows GROUP BY r, x HAVING count(*) > 1),
     covered AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT a.r, a.i + unnest(range(8)) AS p FROM windows a JOIN twice b ON a.r = b.r AND a.x = b.x) GROUP BY r),
-    per_word AS (SELECT r, sum(length(word)) AS chars, count(*) FILTER (NOT regexp_matches(word, '\p{{L}}')) AS bare, max(length(word)) AS longest FROM words GROUP BY r),
+    per_word AS (SELECT r, sum(length(word)) AS chars, count(*) FILTER (NOT regexp_matches(word, '\p{{L}}')) AS bare, max(length(word)) AS longest,
+                 count(*) FILTER (i + 2 <= len(w) AND word = w[i + 2]) AS doubled FROM words GROUP BY r),
     lines AS (SELECT r, count(*) AS n, count(DISTINCT line) AS d FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM docs)
               WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
     counts AS (SELECT d.doc_id, d.t, len(l.w) AS n_words, CAST(coalesce(p.chars, 0) AS BIGINT) AS word_chars,
                CAST(len(regexp_extract_all(d.t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, coalesce(x.n - x.d, 0) AS n_dup_lines,
-               coalesce(c.n, 0) AS n_repeat_words, coalesce(x.n, 0) AS n_lines, coalesce(p.bare, 0) AS bare, coalesce(p.longest, 0) AS longest
+               coalesce(c.n, 0) AS n_repeat_words, coalesce(x.n, 0) AS n_lines, coalesce(p.bare, 0) AS bare, coalesce(p.longest, 0) AS longest, coalesce(p.doubled, 0) AS doubled
                FROM docs d JOIN lists l USING (r) LEFT JOIN per_word p USING (r) LEFT JOIN lines x USING (r) LEFT JOIN covered c USING (r)),
     judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counts)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND word_chars BETWEEN 2 * n_words AND 16 * n_words AND 10 * n_symbols <= 3 * n_words AND 10 * n_dup_lines <= 3 * n_lines
+       NOT base_failed AND word_chars BETWEEN 2 * n_words AND 16 * n_words AND 10 * n_symbols <= 3 * n_words AND 10 * n_dup_lines <= 6 * n_lines AND 10 * doubled <= 3 * n_words
        AND 10 * len(regexp_extract_all(t, '(?m)^[ \t]*[-*•●]')) <= 9 * n_lines AND 10 * len(regexp_extract_all(t, '(?m)(?:\.\.\.|…)[ \t]*$')) <= 3 * n_lines
        AND 10 * bare <= 4 * n_words AND 10 * len(regexp_extract_all(t, '[0-9]')) <= 3 * word_chars AND longest < 1000
        AND NOT contains(lower(t), 'lorem ipsum') AS kept
