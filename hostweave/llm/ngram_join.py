@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hostweave.llm import kernel
@@ -139,7 +139,8 @@ def full_sets(documents: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("key").slice(a, b - a), pa.array(raw, pa.binary())], ["key", "grams"])
 
     texts = documents.select(_id().alias("id"), F.xxhash64("text").alias("tag"), "text")
-    return texts.join(wanted, ["id", "tag"]).select("key", "text").mapInArrow(made, "key binary, grams binary")
+    # the classes grow with the input, so they are never broadcast
+    return texts.join(wanted.hint("merge"), ["id", "tag"]).select("key", "text").mapInArrow(made, "key binary, grams binary")
 
 
 class Unit:
@@ -272,7 +273,7 @@ def groups(documents: DataFrame, n: int = N, threshold: float = THRESHOLD, miss:
     # at most as many buckets per class as there are bands
     lists = member.groupBy("key").agg(F.sort_array(F.collect_list("bucket")).alias("buckets"))
     wanted = stored(lists.join(classes, "key").select("key", "buckets", "weight", "one.id", "one.tag"), "wanted")
-    sets = stored(full_sets(documents, wanted.select("key", "id", "tag"), n).join(wanted.select("key", "buckets", "weight"), "key"), "sets")
+    sets = stored(full_sets(documents, wanted.select("key", "id", "tag"), n).join(wanted.select("key", "buckets", "weight").hint("merge"), "key"), "sets")
     own = F.pmod(F.xxhash64("key", F.lit(2)), F.col("blocks")).cast("int")
     units = (
         member.withColumn("own", own)
@@ -280,7 +281,7 @@ def groups(documents: DataFrame, n: int = N, threshold: float = THRESHOLD, miss:
         .select("key", "bucket", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), (F.col("own") > F.col("other")).cast("int").alias("side"))
     )
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), partitions_for(spark, kept.count() * 50))
-    placed = units.join(sets, "key").repartition(parts, "bucket", "left", "right").sortWithinPartitions("bucket", "left", "right")
+    placed = units.join(sets.hint("merge"), "key").repartition(parts, "bucket", "left", "right").sortWithinPartitions("bucket", "left", "right")
     found = stored(verify(placed, threshold), "links")
     linked = found.groupBy("key").agg(F.sum("n_classes").alias("n_classes"), F.sum("n_linked").alias("n_linked"))
     joined = components(found.select(F.col("key").alias("a"), F.col("root").alias("b")))
@@ -321,7 +322,9 @@ def one_of_each(documents: DataFrame, n: int = N, threshold: float = THRESHOLD)
     verdict = stored(
         verdict.where(~stays | (F.col("rows") > 1)).select(F.col("id").alias("_id"), F.col("tag").alias("_tag"), stays.alias("_stays")), "verdict"
     )
-    on = (_id() == F.col("_id")) & (F.xxhash64("text") == F.col("_tag"))
-    rest = documents.join(verdict, on, "left_anti")
-    copies = documents.join(verdict.where("_stays"), on, "left_semi")
-    return rest.unionByName(copies.dropDuplicates(["doc_id", "text"]))
+    # texts are moved once, by the same plan at any size; repeated rows meet there as well
+    rows = documents.withColumns({"_one_id": _id(), "_one_tag": F.xxhash64("text")})
+    on = (F.col("_one_id") == F.col("_id")) & (F.col("_one_tag") == F.col("_tag"))
+    nth = F.row_number().over(Window.partitionBy("_one_id", "_one_tag").orderBy("_one_id"))
+    joined = rows.join(verdict.hint("merge"), on, "left").withColumn("_nth", nth)
+    return joined.where("_stays IS NULL OR (_stays AND _nth = 1)").select(*documents.columns)
