@@ -20,7 +20,8 @@ HEADLINE = [
     "degree_hist2d",
     "attr_hist_all",
     "validation_report",
-    "synth_edges",
+    "roles_kmeans",
+    "flow_bins",
 ]
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hostweave.operators.scale import by, cut, hot_keys, is_small, running_total, skew_join
+from hostweave.operators.scale import BROADCAST_ROWS, by, cut, cut_and_see, hot_keys, running_total, skew_join
 
 
 def flow_edges(flows: DataFrame) -> DataFrame:
@@ -144,8 +144,8 @@ def numbered(edge_list: DataFrame, hot_rows: int | None = None) -> tuple[DataFra
     to the edges; otherwise both ends are joined with the edges of hot hosts split.
     """
     keys = by(edge_list)
-    hosts = cut(running_total(degrees(edge_list), F.lit(1), ["degree", "id", *keys], name="number"))
-    small = hot_rows is None and is_small(hosts)
+    hosts, seen = cut_and_see(running_total(degrees(edge_list), F.lit(1), ["degree", "id", *keys], name="number"), n=F.count("*"))
+    small = hot_rows is None and seen["n"] <= BROADCAST_ROWS
     coded = edge_list
     for end, other in (("src", "dst"), ("dst", "src")):
         on = [*keys, end]

@@ -30,8 +30,8 @@ def checkpoint_folder(spark: SparkSession) -> str:
     Checkpoints that nothing refers to any more are removed.
     """
     sc = spark.sparkContext
+    sc._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if sc.getCheckpointDir() is None:
-        sc._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not re.match(r"local(\[|$)", sc.master):
@@ -170,7 +170,10 @@ def running_total(
     group = list(group)
     df = df.withColumn("_n", n if isinstance(n, Column) else F.col(n))
     if bucket is None:
-        df = cut(df.repartitionByRange(*group, *order).withColumn("_bucket", F.spark_partition_id()))
+        # as many buckets as the rows need, whatever the session's number of partitions
+        df, seen = cut_and_see(df, n=F.count("*"))
+        parts = partitions_for(df.sparkSession, seen["n"])
+        df = cut(df.repartitionByRange(parts, *group, *order).withColumn("_bucket", F.spark_partition_id()))
     else:
         df = df.withColumn("_bucket", bucket)
     cells = [*group, "_bucket"]

@@ -27,7 +27,7 @@ from hostweave.operators import (
     validate,
 )
 from hostweave.operators.scale import checkpoint_folder, cut, running_total
-from hostweave.plans import features, pipeline
+from hostweave.plans import features
 from hostweave.sources import flow_csv
 from hostweave.sources.schema import FEATURES, FLOW_COLUMNS
 
@@ -348,11 +348,6 @@ def synth_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return synth.label_flows(synth.synth_edges(hosts, stored_role_edges(spark, sf_dir)), bots)
 
 
-def synth_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Synthetic flow table from roles found by k-means."""
-    return pipeline.synthesize(pipeline.estimate(flows(spark, sf_dir), N_ROLES))
-
-
 def sample_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return synth.sample_flows(flows(spark, sf_dir))
 
@@ -621,7 +616,6 @@ def queries() -> dict[str, Query]:
         "synth_edges": synth_edges,
         "synth_attrs": synth_attrs,
         "synth_labels": synth_labels,
-        "synth_flows": synth_flows,
         "sample_flows": sample_flows,
         "flows_by_time": flows_by_time,
         "flow_csv_roundtrip": flow_csv_roundtrip,

@@ -89,3 +89,38 @@ def test_wires_carry_every_link(spark, hot_rows):
     assert got == sorted((r.id, r.nbr * 2) for r in links.collect())
     assert (wires.hot is not None) == (hot_rows is not None)
     wires.close()
+
+
+def test_running_total_buckets_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(scale, "PARTITION_ROWS", 10)
+    rows = spark.range(200).select(F.col("id").alias("v"), F.lit(2).alias("n"))
+    found = scale.running_total(rows, "n", ["v"]).orderBy("v").collect()
+    assert [r.before for r in found] == [2 * i for i in range(200)]
+
+
+def test_wires_are_closed_after_a_failure(spark):
+    links = spark.createDataFrame([("a", "b")], "id string, nbr string")
+    with pytest.raises(ZeroDivisionError):
+        with scale.Wires(scale.cut(links)) as wires:
+            raise ZeroDivisionError
+    assert not wires.links.storageLevel.useMemory and not wires.links.storageLevel.useDisk
+
+
+def test_only_plain_local_mode_gets_a_temporary_folder(spark):
+    class Context:
+        master = "local-cluster[2,1,1024]"
+        _jsc = spark.sparkContext._jsc
+
+        def getCheckpointDir(self):
+            return None
+
+    class Conf:
+        def get(self, name, default):
+            return default
+
+    class Session:
+        sparkContext = Context()
+        conf = Conf()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scale.checkpoint_folder(Session())
