@@ -19,7 +19,6 @@ same key stay apart, in the order of a hash of their texts; an empty table gives
 
 from __future__ import annotations
 
-import functools
 import json
 import re
 import struct
@@ -289,10 +288,9 @@ class Encoder:
         return ids, count + 1
 
 
-@functools.lru_cache(maxsize=1)
 def encoder(path: str, end_id: int) -> Encoder:
     """The encoder of this process; tasks that follow each other share what it remembers."""
-    return Encoder(path, end_id)
+    return kernel.keep(("encoder", path, end_id), lambda: Encoder(path, end_id))
 
 
 # --- records -------------------------------------------------------------------------------------------------------

@@ -28,6 +28,8 @@ MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 BYTE_VALUES = np.random.Generator(np.random.PCG64(20_011)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 _powers: dict[str, np.ndarray] = {}
+_kept: dict[tuple, object] = {}
+_owner: list[str] = []
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
@@ -60,11 +62,27 @@ def release() -> None:
         _trim(0)
 
 
+def keep(key: tuple, make):
+    """What ``make`` gives, kept in this process for the next tasks of the same operator; one value at a time."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def claim(operator: str) -> None:
+    """Drop what another operator kept."""
+    if _owner != [operator]:
+        _kept.clear()
+        _owner[:] = [operator]
+
+
 def task(function):
     """For functions over the batches of a task: processes live on between tasks, but keep no memory they don't need."""
 
     @functools.wraps(function)
     def run(batches):
+        claim(function.__module__)
         try:
             yield from function(batches)
         finally:

@@ -21,7 +21,6 @@ keep white space and text as they are (dummy prefix, no normalisation); decoding
 
 from __future__ import annotations
 
-import functools
 import zlib
 from collections.abc import Iterator
 
@@ -36,7 +35,9 @@ from hostweave.llm.storage import small_batches
 K = 2
 SEED = 17
 # Different words whose lattices a task keeps, and edges.
-CACHE_WORDS, CACHE_EDGES = 1 << 19, 3_500_000
+CACHE_WORDS, CACHE_EDGES = 1 << 19, 3_800_000
+# Bytes of text sampled at once.
+PIECE_BYTES = 1 << 19
 UNIT = 2.0**24
 
 _NODE, _EDGE, _SAMPLE = (np.uint64(c) for c in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
@@ -140,8 +141,9 @@ class Lattices:
 
     def clear(self) -> None:
         self.key, self.base = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.first = Grown(np.int64)  # first edge of each node; one node more per word closes the last
-        self.id, self.span, self.log, self.chance = Grown(np.int32), Grown(np.int16), Grown(np.float32), Grown(np.float32)
+        self.first = Grown(np.int32)  # first edge of each node; one node more per word closes the last
+        small = np.uint16 if len(self.pieces.text) <= 1 << 16 else np.int32
+        self.id, self.span, self.log, self.chance = Grown(small), Grown(np.uint8), Grown(np.float32), Grown(np.float32)
 
     def nodes(self, key: np.ndarray) -> np.ndarray:
         """First node of each word, -1 where it is missing."""
@@ -220,10 +222,10 @@ class Lattices:
             grown.add(values)
 
     def edges(self, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        start = self.first.data[node]
+        start = self.first.data[node].astype(np.int64)
         after = node + 1
         end = np.where(after < self.first.n, self.first.data[np.minimum(after, len(self.first.data) - 1)], self.id.n)
-        return start, end - start
+        return start, end.astype(np.int64) - start
 
 
 def walk(lattices: Lattices, node: np.ndarray, place: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -425,10 +427,9 @@ class Sampler:
         return level[order], text[order].astype(np.int64), place[order].astype(np.int64), edge[order].astype(np.int64)
 
 
-@functools.lru_cache(maxsize=1)
 def sampler_of(model: str, k: int) -> Sampler:
     """The sampler of this process; tasks that follow each other share its lattices."""
-    return Sampler(model, k)
+    return kernel.keep(("sampler", model, k), lambda: Sampler(model, k))
 
 
 def log_inclusion(log_probability: np.ndarray, following: np.ndarray) -> np.ndarray:
@@ -457,7 +458,7 @@ def sample(documents: DataFrame, model: str, k: int = K, seed: int = SEED, key:
         sampler = sampler_of(model, k)
         for batch in batches:
             keys, seeds = batch.column("key"), batch.column("seed").to_numpy().view(np.uint64)
-            for a, b, data, offsets in kernel.pieces(kernel.as_text(batch.column("text"))):
+            for a, b, data, offsets in kernel.pieces(kernel.as_text(batch.column("text")), PIECE_BYTES):
                 for rank, (texts, ids, count, log, value, inclusion) in enumerate(_drawn(sampler, data, offsets, seeds[a:b]), 1):
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -483,7 +484,7 @@ def digests(documents: DataFrame, model: str, k: int = K, seed: int = SEED, key:
         sampler = sampler_of(model, k)
         for batch in batches:
             keys, seeds = batch.column("key"), batch.column("seed").to_numpy().view(np.uint64)
-            for a, b, data, offsets in kernel.pieces(kernel.as_text(batch.column("text"))):
+            for a, b, data, offsets in kernel.pieces(kernel.as_text(batch.column("text")), PIECE_BYTES):
                 for rank, (texts, ids, count, log, value, inclusion) in enumerate(_drawn(sampler, data, offsets, seeds[a:b]), 1):
                     raw = ids.astype("<u4").tobytes()
                     cut = np.concatenate([[0], np.cumsum(count)])

@@ -48,3 +48,15 @@ def test_nothing_to_read(texts):
     for _, _, data, offsets in kernel.pieces(kernel.as_text(pa.array(texts, pa.string()))):
         assert len(kernel.words(data, offsets).start) == 0
         assert len(kernel.shingle_hashes(data, offsets)[0]) == 0
+
+
+def test_kept_values_go_with_their_operator():
+    made = []
+    make = lambda: made.append(1) or len(made)
+    kernel.claim("a")
+    assert [kernel.keep(("x",), make), kernel.keep(("x",), make)] == [1, 1]
+    kernel.claim("a")
+    assert kernel.keep(("x",), make) == 1
+    assert kernel.keep(("y",), make) == 2  # one value at a time
+    kernel.claim("b")
+    assert kernel.keep(("y",), make) == 3
