@@ -25,6 +25,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)(?:href|src)\s*=\s*["']?\s*((?:https?:)?//[^\s"'<>]+)"""
 # PageRank's share that follows links, most rounds, and the change at which rounds stop.
 DAMPING, ROUNDS, TOLERANCE = 0.85, 30, 1e-6
+# Trust and distrust that differ by less than this part of them are equal, so that the order of sums does not decide.
+SAME = 1e-6
 # Rounds between two writes of the ranks.
 WRITE_EVERY = 5
 
@@ -145,12 +147,12 @@ def host_verdicts(pages: DataFrame, judged: DataFrame, ratio: float = 1.0) -> Da
     trust = spread(links, hosts.select("host", F.col("good").alias("seed")))
     reversed_links = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
     distrust = spread(reversed_links, hosts.select("host", F.col("bad").alias("seed")))
-    # nine digits, so that the order of sums does not decide
-    t, d = F.round("trust", 9), F.round("distrust", 9)
+    # relative to the two values, which shrink as the number of hosts grows
+    more = F.col("distrust") > ratio * F.col("trust") * (1 + SAME)
     return (
         trust.select("host", F.col("rank").alias("trust"))
         .join(distrust.select("host", F.col("rank").alias("distrust")), "host")
-        .withColumn("verdict", F.when(d > ratio * t, "block").otherwise("allow"))
+        .withColumn("verdict", F.when(more, "block").otherwise("allow"))
     )
 
 

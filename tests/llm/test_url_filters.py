@@ -103,5 +103,14 @@ def test_ranks_add_up(spark):
     assert found == pytest.approx(want, abs=0.01)
 
 
+def test_small_ranks_are_compared(spark, monkeypatch):
+    # links are read from html; ranks are given, as few tables have 1e12 hosts
+    given = iter([{"a.net": 0.0, "b.net": 1e-12, "c.net": 1e-12}, {"a.net": 1e-12, "b.net": 1e-12 * (1 + 1e-9), "c.net": 2e-12}])
+    made = lambda links, seeds: spark.createDataFrame([(h, 0.0, v) for h, v in next(given).items()], "host string, seed double, rank double")
+    monkeypatch.setattr(U, "spread", made)
+    found = U.judge(pages(spark, [(f"http://{h}.net/", None) for h in "abc"])).orderBy("page_id").collect()
+    assert [r.verdict for r in found] == ["block", "allow", "block"]
+
+
 def test_empty_table(spark):
     assert U.judge(pages(spark, [])).count() == 0
