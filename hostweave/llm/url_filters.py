@@ -20,15 +20,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hostweave.llm.storage import stored
+from hostweave.operators.scale import cut_and_see
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)(?:href|src)\s*=\s*["']?\s*((?:https?:)?//[^\s"'<>]+)"""
-# PageRank's share that follows links, most rounds, and the change at which rounds stop.
-DAMPING, ROUNDS, TOLERANCE = 0.85, 30, 1e-6
-# Trust and distrust that differ by less than this part of them are equal, so that the order of sums does not decide.
-SAME = 1e-6
-# Rounds between two writes of the ranks.
-WRITE_EVERY = 5
+# PageRank's share that follows links, the part of each rank that may still change when rounds stop, and the rounds after
+# which that is an error.
+DAMPING, TOLERANCE, MOST_ROUNDS = 0.85, 1e-6, 1000
+# Rounds of the SQL that the tests compare with.
+ROUNDS = 30
+# Trust and distrust that differ by less than this part of them are equal, so that neither the order of sums nor the
+# last rounds decide.
+SAME = 1e-5
 
 
 @dataclass(frozen=True)
@@ -99,37 +102,37 @@ def host_links(pages: DataFrame) -> DataFrame:
     )
 
 
-def spread(links: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def spread(links: DataFrame, seeds: DataFrame, rounds: int = MOST_ROUNDS, damping: float = DAMPING) -> DataFrame:
     """(host, seed, rank): personalised PageRank of all hosts in ``seeds``, which has each host once with its seed.
 
-    Ranks add up to 1; what hosts without links hold goes back to the seeds. All zero if no host is a seed.
+    Ranks add up to 1; what hosts without links hold goes back to the seeds. All zero if no host is a seed. Rounds go on
+    until no host's rank changes by more than ``TOLERANCE`` of it, so every host that links lead to has been reached;
+    RuntimeError if ``rounds`` do not suffice.
     """
     total = seeds.agg(F.sum("seed")).first()[0] or 0.0
     if not total:
         return seeds.withColumn("rank", F.lit(0.0))
     out = links.groupBy("src").agg(F.sum("n").alias("out"))
     shares = stored(links.join(out, "src").select(F.col("src").alias("host"), "dst", (F.col("n") / F.col("out")).alias("share")), "shares")
-    state = stored(
-        seeds.join(out.select(F.col("src").alias("host"), F.lit(1).alias("linked")), "host", "left").select(
-            "host", "seed", (F.col("seed") / total).alias("start"), F.coalesce("linked", F.lit(0)).alias("linked"), (F.col("seed") / total).alias("rank")
-        ),
-        "ranks",
-    )
-    for k in range(1, rounds + 1):
-        loose = state.agg(F.sum(F.when(F.col("linked") == 0, F.col("rank")))).first()[0] or 0.0
+    # what goes back to the seeds only scales all ranks, so it is left out of the rounds and made up for at the end
+    start = (F.col("seed") / total).alias("start")
+    state = stored(seeds.select("host", "seed", start, start.alias("rank")), "ranks")
+    for _ in range(rounds):
         sent = (
             shares.join(state.where("rank > 0").select("host", "rank"), "host")
             .groupBy(F.col("dst").alias("host"))
             .agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         )
-        new = (1 - damping) * F.col("start") + damping * (F.coalesce("got", F.lit(0.0)) + loose * F.col("start"))
-        state = state.join(sent, "host", "left").select("host", "seed", "start", "linked", new.alias("rank"), F.abs(new - F.col("rank")).alias("step"))
-        state = stored(state, "ranks") if k % WRITE_EVERY == 0 or k < 3 else state
-        if k % WRITE_EVERY == 0 or k < 3:
-            if (state.agg(F.sum("step")).first()[0] or 0.0) < TOLERANCE:
-                break
-        state = state.drop("step")
-    return state.select("host", "seed", "rank")
+        new = F.col("start") + damping * F.coalesce("got", F.lit(0.0))
+        step = F.when(new > 0, F.abs(new - F.col("rank")) / new)
+        moved = state.join(sent, "host", "left").select("host", "seed", "start", new.alias("rank"), step.alias("step"))
+        moved, seen = cut_and_see(moved, step=F.max("step"), rank=F.sum("rank"))
+        state = moved.drop("step")
+        if seen["step"] < TOLERANCE:
+            break
+    else:
+        raise RuntimeError(f"ranks still change by {seen['step']} of them after {rounds} rounds")
+    return state.select("host", "seed", (F.col("rank") / seen["rank"]).alias("rank"))
 
 
 def host_verdicts(pages: DataFrame, judged: DataFrame, ratio: float = 1.0) -> DataFrame:

@@ -112,5 +112,16 @@ def test_small_ranks_are_compared(spark, monkeypatch):
     assert [r.verdict for r in found] == ["block", "allow", "block"]
 
 
+def test_ranks_reach_the_end_of_a_chain(spark):
+    names = [f"h{i:02}" for i in range(45)]
+    links = spark.createDataFrame([(a, b, 1) for a, b in zip(names, names[1:])], "src string, dst string, n long")
+    seeds = {h: float(h == "h00") for h in names}
+    found = {r.host: r["rank"] for r in U.spread(links, spark.createDataFrame(list(seeds.items()), "host string, seed double")).collect()}
+    want = rank({(r.src, r.dst): r.n for r in links.collect()}, seeds)
+    assert all(found[h] == pytest.approx(want[h], rel=1e-4) for h in names)
+    with pytest.raises(RuntimeError):
+        U.spread(links, spark.createDataFrame(list(seeds.items()), "host string, seed double"), rounds=30)
+
+
 def test_empty_table(spark):
     assert U.judge(pages(spark, [])).count() == 0
