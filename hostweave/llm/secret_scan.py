@@ -2,10 +2,11 @@
 
 Texts are cut into tokens (runs of letters and digits, and runs of other characters without white space). The field tags
 each as secret begin, inside or outside from its shape, the tokens and words around it and features of the whole text.
-It learns from what the patterns find in a bounded sample of documents (``SAMPLE_ROWS``, ``SAMPLE_WINDOWS``), and adds
-spans that overlap none of theirs. Scanning is one pass without a shuffle.
+It learns from windows around what the patterns find in the whole table, at most ``SAMPLE_WINDOWS`` / 2, and as many
+others from a bounded sample of documents (``SAMPLE_ROWS``), and adds spans that overlap none of theirs. Fitting reads the
+texts once more; scanning is one pass without a shuffle.
 
-Defined cases: a null or empty text has no spans; repeated rows are scanned each; without any pattern match in the sample
+Defined cases: a null or empty text has no spans; repeated rows are scanned each; without any pattern match in the table
 the field adds nothing. Only the id and text columns are read. Positions are code points, ends exclusive.
 """
 
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hostweave.llm import crf, kernel
-from hostweave.llm.storage import small_batches, stored
+from hostweave.llm.storage import small_batches
 
 # Bounds of what the field is fitted on: documents, and windows of tokens from them.
 SAMPLE_ROWS, SAMPLE_WINDOWS = 24_000, 6_000
@@ -182,41 +183,55 @@ def labelled(data: np.ndarray, offsets: np.ndarray, start: np.ndarray, end: np.n
     return out
 
 
-def fit(documents: DataFrame, rows: int = SAMPLE_ROWS, windows: int = SAMPLE_WINDOWS) -> crf.Chain:
-    """Fit on windows of tokens around matches, and on as many others, from documents in hash order."""
-    keys = documents.select(F.xxhash64("doc_id").alias("_h"), "doc_id").where("doc_id IS NOT NULL").orderBy("_h").limit(rows).select("doc_id").distinct()
+def _windows(texts: DataFrame, hit: int) -> DataFrame:
+    """(h, x, y) of windows of tokens in (h, text): around matches if ``hit``, else drawn ones and the hardest."""
 
     @kernel.task
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys_ = batch.column("h").to_numpy()
-            for a, _, data, offsets in kernel.pieces(kernel.as_text(batch.column("text"))):
+            keys = batch.column("h").to_numpy()
+            for a, b, data, offsets in kernel.pieces(kernel.as_text(batch.column("text"))):
+                rows = np.arange(a, b)
+                if hit:  # few texts can have one
+                    some = np.flatnonzero(hinted(data, offsets))
+                    if not len(some):
+                        continue
+                    data = np.concatenate([data[offsets[i] : offsets[i + 1]] for i in some])
+                    rows, offsets = rows[some], np.concatenate([[0], np.cumsum(np.diff(offsets)[some])])
                 start, end, first = tokens(data, offsets)
                 found, label = active(data, offsets, start, end, first), labelled(data, offsets, start, end)
                 at = []
-                for i in range(len(offsets) - 1):
+                for i, row in enumerate(rows.tolist()):
                     lo, hi = int(first[i]), int(first[i + 1])
                     if hi == lo:
                         continue
                     hits = lo + np.flatnonzero(label[lo:hi] == BEGIN)[:4]
-                    drawn = (int(keys_[a + i]) & 0x7FFFFFFF) % (hi - lo) + lo
-                    at += [(i, max(lo, int(h) - WINDOW // 2), 1) for h in hits] + [(i, max(lo, min(drawn, hi - WINDOW)), 0)]
+                    if hit:
+                        at += [(i, max(lo, int(h) - WINDOW // 2)) for h in hits]
+                        continue
+                    drawn = (int(keys[row]) & 0x7FFFFFFF) % (hi - lo) + lo
+                    at.append((i, max(lo, min(drawn, hi - WINDOW))))
                     if len(hits) == 0:  # the longest token of a text is the hardest to leave out
                         longest = lo + int(np.argmax(end[lo:hi] - start[lo:hi]))
-                        at.append((i, max(lo, longest - WINDOW // 2), 0))
+                        at.append((i, max(lo, longest - WINDOW // 2)))
                 out = [
-                    {"hit": hit, "h": int(keys_[a + i]) ^ t, "x": found[t : min(t + WINDOW, int(first[i + 1]))].ravel().astype(np.int16).tolist(), "y": label[t : min(t + WINDOW, int(first[i + 1]))].tolist()}
-                    for i, t, hit in at
+                    {"h": int(keys[rows[i]]) ^ t, "x": found[t : min(t + WINDOW, int(first[i + 1]))].ravel().astype(np.int16).tolist(), "y": label[t : min(t + WINDOW, int(first[i + 1]))].tolist()}
+                    for i, t in at
                 ]
                 if out:
-                    yield pa.RecordBatch.from_pylist(out, pa.schema([("hit", pa.int32()), ("h", pa.int64()), ("x", pa.list_(pa.int16())), ("y", pa.list_(pa.int32()))]))
+                    yield pa.RecordBatch.from_pylist(out, pa.schema([("h", pa.int64()), ("x", pa.list_(pa.int16())), ("y", pa.list_(pa.int32()))]))
+
+    return texts.mapInArrow(cut, "h long, x array<smallint>, y array<int>")
+
 
+def fit(documents: DataFrame, rows: int = SAMPLE_ROWS, windows: int = SAMPLE_WINDOWS) -> crf.Chain:
+    """Fit on windows of tokens around matches in all documents, and on as many others from ``rows`` documents, in hash order."""
+    keys = documents.select(F.xxhash64("doc_id").alias("_h"), "doc_id").where("doc_id IS NOT NULL").orderBy("_h").limit(rows).select("doc_id").distinct()
     # at most ``rows`` ids
     sample = small_batches(documents).join(F.broadcast(keys), "doc_id").select(F.xxhash64("doc_id").alias("h"), "text")
-    found = sample.mapInArrow(cut, "hit int, h long, x array<smallint>, y array<int>")
-    # both kinds in hash order; the limits are those of the sample
-    found = stored(found, "windows")
-    taken = [found.where(F.col("hit") == hit).orderBy("h", "y").limit(windows // 2).toPandas() for hit in (1, 0)]
+    # rows without an id are in the order of their texts
+    every = small_batches(documents).select(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")).alias("h"), "text")
+    taken = [_windows(table, hit).orderBy("h", "y").limit(windows // 2).toPandas() for table, hit in ((every, 1), (sample, 0))]
     if not len(taken[0]):
         model = crf.Chain(np.zeros((int(FIRST[-1]), 3)), np.zeros((3, 3)))
         model.weights[:, OUTSIDE] = 1.0

@@ -113,6 +113,21 @@ def test_masked(spark, rows, model):
         assert by_id[i] == (None if want is None else "".join(want))
 
 
+def test_matches_outside_the_sample_are_learnt(spark, rows):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(10)
+    plain_rows = [(i, prose(rng, 60, 2000)) for i in range(300)]
+    order = [r.doc_id for r in documents(spark, plain_rows).orderBy(F.xxhash64("doc_id")).collect()]
+    # the first 60 documents in hash order have no match, the others have those of ``rows``
+    texts = iter(t for i, t in rows if i is not None and i < 600 and i % 3 == 0)
+    docs = documents(spark, [(i, plain_rows[i][1] if k < 60 else next(texts)) for k, i in enumerate(order[:240])])
+    model = S.fit(docs, rows=60)
+    hexed = "".join(rng.choice("0123456789abcdef") for _ in range(22))
+    found = S.scan(documents(spark, [(1, f"some words pwd={hexed} and more words")]), model).first().spans
+    assert [(s.kind, s.start, s.end) for s in found] == [("field", 15, 15 + 22)]
+
+
 def test_without_examples(spark):
     docs = documents(spark, [(1, "plain words only"), (2, None)])
     assert {tuple(r.spans) for r in S.scan(docs, S.fit(docs)).collect()} == {()}
