@@ -139,6 +139,8 @@ def full_sets(documents: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("key").slice(a, b - a), pa.array(raw, pa.binary())], ["key", "grams"])
 
     texts = documents.select(_id().alias("id"), F.xxhash64("text").alias("tag"), "text")
+    # repeated rows are merged before they move, so each class has one set
+    texts = texts.groupBy("id", "tag").agg(F.first("text").alias("text"))
     # the classes grow with the input, so they are never broadcast
     return texts.join(wanted.hint("merge"), ["id", "tag"]).select("key", "text").mapInArrow(made, "key binary, grams binary")
 

@@ -67,6 +67,20 @@ def test_links_classes_and_groups(spark, rows, block, monkeypatch):
     assert Counter((r.doc_id, r.class_id, r.class_size, r.n_links, r.group_id) for r in found) == plain(rows)
 
 
+def test_repeated_rows_give_one_set(spark, monkeypatch):
+    monkeypatch.setattr(J, "BLOCK_CLASSES", 2)
+    rng = random.Random(12)
+    words = prose(rng, 60, 2000).split()
+    same = " ".join(words)
+    rows = [(None, same)] * 20 + [(7, same)] * 5 + [(8, same + " y"), (9, "y " + same)] + [(20 + i, prose(rng, 60, 2000)) for i in range(20)]
+    seen = []
+    real = J.verify
+    monkeypatch.setattr(J, "verify", lambda units, threshold: seen.extend(units.select("bucket", "left", "right", "key").collect()) or real(units, threshold))
+    found = J.groups(documents(spark, rows)).collect()
+    assert Counter((r.doc_id, r.class_id, r.class_size, r.n_links, r.group_id) for r in found) == plain(rows)
+    assert seen and max(Counter((r.bucket, r.left, r.right, bytes(r.key)) for r in seen).values()) == 1
+
+
 def test_one_of_each_group_stays(spark, rows):
     docs = documents(spark, rows)
     left = J.one_of_each(docs)
