@@ -46,6 +46,18 @@ def test_histogram_intersection(spark):
     assert score(spark, [3], [3, 3, 3]) is None
 
 
+def test_small_values_keep_their_bins(spark):
+    def rounded_score(a, b):
+        return validate.histogram_intersection(*validate.rounded_to_bins(sample(spark, a), sample(spark, b))).first().score
+
+    # as the PageRank of many hosts: seven decimals of all these are 0
+    wide, half = [(i + 0.5) * 1e-10 for i in range(200)], [(i + 0.5) * 0.5e-10 for i in range(200)]
+    assert rounded_score(wide, half) == pytest.approx(score(spark, wide, half)) == pytest.approx(0.5, abs=0.02)
+    # what only the order of sums parts stays in one bin
+    noise = [1e-9 * (1 + i * 1e-16) for i in range(40)]
+    assert rounded_score(noise[:20], noise[20:]) == 1.0
+
+
 @pytest.fixture(scope="module")
 def flows(spark):
     """Host c has no role features, one role stays empty, s_tos has nulls."""
