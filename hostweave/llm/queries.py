@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostweave.llm import binary_output, mixing, nearest, ngram_join, quality_rules, secret_scan, sentencepiece_sampling, suffix_dedup, toxicity, url_filters
+from hostweave.llm import alignment, binary_output, bpe, mixing, nearest, ngram_join, periodic_runs, quality_rules, secret_scan, sentencepiece_sampling, suffix_dedup, toxicity, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -75,8 +75,25 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of the two tokenizers' tokens in every document, and how common their links are in all of them."""
+    paths = [binary_output.tokenizer_path(spark, name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return alignment.statistics(table(spark, sf_dir, "documents"), *paths).withColumnRenamed("key", "doc_id")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in every document, after rewriting one of ten, and the text without the repeats."""
+    return periodic_runs.digests(table(spark, sf_dir, "documents"), planted=True).withColumnRenamed("key", "doc_id")
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of every document and of the text that they decode to."""
+    path = binary_output.tokenizer_path(spark, "word_bpe_49k.json")
+    return bpe.digests(table(spark, sf_dir, "documents"), path).withColumnRenamed("key", "doc_id")
+
+
 def queries() -> dict[str, Query]:
-    named = [op1_toxicity, op2_quality_rules, op3_url_filters, op4_binary_output, op5_secret_scans, op6_ngram_join, op7_sentencepiece, op8_nearest, op9_suffix_dedup, op10_mixing]
+    named = [op1_toxicity, op2_quality_rules, op3_url_filters, op4_binary_output, op5_secret_scans, op6_ngram_join, op7_sentencepiece, op8_nearest, op9_suffix_dedup, op10_mixing, op11_alignment, op12_periodic_runs, op13_bpe]
     return {q.__name__: q for q in named}
 
 
@@ -141,6 +158,28 @@ SELECT d.doc_id, d.size, r.s AS source_size, CAST(r.target AS DOUBLE) AS target,
 FROM sized d JOIN rest r USING (f) LEFT JOIN last_ l USING (f)"""
 
 
+# runs of equal six-word windows at every lag; checksums by bytes with a table of the 256 remainders
+PERIODIC_SQL = rf"""
+WITH {WORDS},
+    remainders AS (SELECT list(list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS rem FROM range(256) x(b)),
+    hashed AS (SELECT r, doc_id, len(w) AS n, CASE WHEN doc_id IS NULL THEN 1 ELSE xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))),
+               lambda c, x: xor(c >> 8, rem[(xor(c, x) & 255) + 1])), 4294967295) END AS h FROM docs JOIN lists USING (r) CROSS JOIN remainders),
+    planned AS (SELECT *, h % 10 = 0 AND n > 0 AS made, CASE WHEN n > 0 THEN (h // 10) % n ELSE 0 END AS a, 3 + (h // 10) % 8 AS d FROM hashed),
+    moved AS (SELECT w.r, w.i, l.w[1 + CASE WHEN p.made AND w.i >= p.a THEN p.a + (w.i - p.a) % (1 + (p.n - p.a) // p.d) ELSE w.i END] AS word
+              FROM words w JOIN planned p USING (r) JOIN lists l USING (r)),
+    texts AS MATERIALIZED (SELECT r, list(word ORDER BY i) AS w FROM moved GROUP BY r),
+    windows AS MATERIALIZED (SELECT r, i, array_to_string(w[i + 1 : i + 6], ' ') AS x FROM (SELECT r, w, unnest(range(len(w) - 5)) AS i FROM texts WHERE len(w) >= 12)),
+    twice AS (SELECT x.r, x.i, y.i - x.i AS q FROM windows x JOIN windows y ON x.r = y.r AND x.x = y.x AND x.i < y.i),
+    islands AS (SELECT r, q, min(i) AS s, max(i) - min(i) + 6 + q AS size FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM twice) GROUP BY r, q, island),
+    runs AS MATERIALIZED (SELECT r, s, size, min(q) AS q FROM islands WHERE size >= greatest(12, 2 * q) GROUP BY r, s, size),
+    best AS (SELECT r, count(*) AS n_runs, arg_min((s, size, q), (-size, s, q)) AS b, string_agg(concat(s, ',', size, ',', q, chr(10)), '' ORDER BY s, q) AS told FROM runs GROUP BY r),
+    dropped AS (SELECT DISTINCT r, unnest(range(s + q, s + size)) AS i FROM runs),
+    left_ AS (SELECT m.r, string_agg(m.word, ' ' ORDER BY m.i) AS t FROM moved m LEFT JOIN dropped x ON x.r = m.r AND x.i = m.i WHERE x.r IS NULL GROUP BY m.r)
+SELECT p.doc_id, coalesce(b.n_runs, 0) AS n_runs, b.b[1] AS start, CAST(b.b[2] AS BIGINT) AS length, b.b[3] AS period, CAST(1000 * b.b[2] // b.b[3] AS BIGINT) AS exponent_milli,
+       sha256(coalesce(b.told, '')) AS runs_sha256, sha256(coalesce(k.t, '')) AS collapsed_sha256
+FROM planned p LEFT JOIN best b USING (r) LEFT JOIN left_ k USING (r)"""
+
+
 def url_sql() -> str:
     """Rules and both ranks, round by round."""
     rules = sorted(url_filters.RULES, key=lambda r: (-len(r.text), r.text))
@@ -180,4 +219,4 @@ def url_sql() -> str:
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that have an exact one; the tests compare the others with brute force or held-out labels."""
-    return {"op2_quality_rules": QUALITY_SQL, "op3_url_filters": url_sql(), "op6_ngram_join": JOIN_SQL, "op10_mixing": MIXING_SQL}
+    return {"op2_quality_rules": QUALITY_SQL, "op3_url_filters": url_sql(), "op6_ngram_join": JOIN_SQL, "op10_mixing": MIXING_SQL, "op12_periodic_runs": PERIODIC_SQL}
