@@ -387,13 +387,25 @@ def flow_csv_mixed_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flow_csv.read_flows(spark, [f"{folder}/a", f"{folder}/b"])
 
 
+def flow_log_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs with different headers, read by the data source in many ranges."""
+    folder = fresh(spark, "logs")
+    log = flows(spark, sf_dir, True)
+    names = [header for header, _, _ in FLOW_COLUMNS]
+    flow_csv.write_log(log.where("dir = '->'"), f"{folder}/a")
+    flow_csv.write_log(log.where("dir <> '->'"), f"{folder}/b", [n.upper() if i % 2 else n.lower() for i, n in enumerate(reversed(names))])
+    return flow_csv.scan_flows(spark, [f"{folder}/a", f"{folder}/b"])
+
+
 def flow_csv_concatenated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part files put together with their headers, beside an empty file."""
     folder, joined = fresh(spark, "parts"), fresh(spark, "joined")
     flow_csv.write_log(flows(spark, sf_dir).repartition(4), folder)
-    parts = spark.read.text(folder)
-    parts.coalesce(1).write.text(f"{joined}/all")
-    parts.limit(0).write.text(f"{joined}/none")
+    parts = spark.read.text(folder).select("value", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("line"))
+    # about two parts to a file, however many there are
+    n = max(2, len(spark.read.text(folder).inputFiles()) // 2)
+    parts.repartition(n, "file").sortWithinPartitions("file", "line").select("value").write.text(f"{joined}/all")
+    parts.select("value").limit(0).write.text(f"{joined}/none")
     return flow_csv.read_flows(spark, [f"{joined}/all", f"{joined}/none"]).drop("scenario")
 
 
@@ -625,6 +637,7 @@ def queries() -> dict[str, Query]:
                 flow_csv_many_scenarios,
                 flow_csv_mixed_headers,
                 flow_csv_concatenated,
+                flow_log_source,
                 bracketed_hosts,
                 role_table_stored,
                 role_sizes_stored,

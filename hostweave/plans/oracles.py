@@ -560,6 +560,7 @@ def oracle_sql() -> dict[str, str]:
         "flow_csv_many_scenarios": "SELECT * REPLACE (CASE WHEN dir = '->' THEN scenario ELSE scenario || '2' END AS scenario) FROM flows_s",
         "flow_csv_mixed_headers": "SELECT * FROM flows_s",
         "flow_csv_concatenated": "SELECT * FROM flows",
+        "flow_log_source": "SELECT * FROM flows_s",
         "bracketed_hosts": "SELECT src_addr, dst_addr FROM flows",
         "role_table_stored": "SELECT * FROM roles",
         "role_sizes_stored": "SELECT role, n_nodes FROM sizes",

@@ -3,45 +3,83 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 from operator import and_
+from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from hostweave.functions.columns import bare_host, parse_time, scenario_of
+from hostweave.sources import flow_log, stores
 from hostweave.sources.schema import FLOW_COLUMNS
 
+# Most tasks that open files by themselves.
+FILE_TASKS = 10_000
 
-def _fields(line: Column) -> Column:
-    """Names in a header line, in lower case and without quotes."""
-    return F.transform(F.split(F.lower(line), ","), lambda name: F.btrim(name, F.lit("\" \t\r\ufeff")))
+
+def _opened(spark: SparkSession, files: list[str], told: Callable[[str], list[tuple]], schema: str) -> list:
+    """Rows that ``told`` gives for each file, in one job whose tasks open the files by themselves."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [row for file in batch.column(0).to_pylist() for row in told(file)]
+            columns = list(zip(*found, strict=True)) if found else [[] for _ in names]
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names)
+
+    fields = T._parse_datatype_string(schema).fields
+    names, kinds = [f.name for f in fields], [to_arrow_type(f.dataType) for f in fields]
+    table = spark.createDataFrame([(f,) for f in files], "file STRING")
+    return table.repartition(min(len(files), FILE_TASKS)).mapInArrow(rows, schema).collect()
+
+
+def _headers_at_front(file: str, needed: list[str]) -> list[tuple]:
+    """(file, header) of every different header in the first bytes of a file; one null if there is none."""
+    with flow_log.open_range(file) as stream:
+        head = stream.read(flow_log.HEAD_BYTES)
+    lines = re.split(rb"\r\n|\n|\r", head)
+    if len(head) >= flow_log.HEAD_BYTES:
+        lines.pop()  # it may go on
+    texts = [line.decode("utf-8", "replace").strip("\ufeff\r\n") for line in lines]
+    found = {tuple(flow_log.names_in(t)): t for t in reversed(texts) if flow_log.is_header(t, needed)}
+    return [(file, h) for h in found.values()] or ([(file, None)] if any(t.strip() for t in texts) else [])
+
+
+def _headers_by_scan(spark: SparkSession, path: str | list[str], needed: list[str]) -> list[tuple]:
+    """The same from all lines, for stores that only Spark can read."""
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    fields = F.transform(F.split(F.lower("value"), ","), lambda name: F.btrim(name, F.lit("\" \t\r\ufeff")))
+    is_header = reduce(and_, [F.array_contains(fields, name.lower()) for name in needed])
+    likely = F.contains(F.lower("value"), F.lit(needed[0].lower()))  # spares splitting every line
+    headers = F.explode_outer(F.collect_set(F.when(likely & is_header, F.col("value"))))
+    return [(r.file, r.header and r.header.strip("\ufeff\r\n")) for r in lines.groupBy("file").agg(headers.alias("header")).collect()]
 
 
 def file_headers(spark: SparkSession, path: str | list[str], needed: list[str]) -> dict[str, list[str]]:
     """Files by header line. A header is a line that has all ``needed`` names in any case.
 
-    Raises if a file with lines has no header, or several different ones.
+    Tasks read the first ``flow_log.HEAD_BYTES`` of each file; the scan of the rows finds other headers further down.
+    Raises if a file with lines has no header there, or several different ones.
     """
-    lines = spark.read.option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
-    is_header = F.lit(True)
-    for name in needed:
-        is_header &= F.array_contains(_fields(F.col("value")), name.lower())
-    likely = F.contains(F.lower("value"), F.lit(needed[0].lower()))  # spares splitting every line
-    # one row for each file, as the list of files is on the driver anyway
-    rows = (
-        lines.groupBy("file")
-        .agg(F.collect_set(F.when(likely & is_header, F.col("value"))).alias("headers"), F.count("*").alias("n"))
-        .collect()
-    )
+    files = list(spark.read.option("recursiveFileLookup", True).text(path).inputFiles())
+    if not files:
+        return {}
+    if all(map(stores.is_known, files)):
+        rows = [tuple(r) for r in _opened(spark, files, lambda file: _headers_at_front(file, needed), "file STRING, header STRING")]
+    else:
+        rows = _headers_by_scan(spark, path, needed)
+    by_file: dict[str, set[str]] = {}
+    for file, header in rows:
+        by_file.setdefault(file, set()).update([header] if header else [])
     found: dict[str, list[str]] = {}
-    for row in sorted(rows, key=lambda r: r.file):
-        headers = {h.strip("\ufeff\r\n") for h in row.headers}
+    for file, headers in sorted(by_file.items()):
         if len(headers) != 1:
-            raise ValueError(f"{row.file}: {len(headers)} different headers with {', '.join(needed)}")
-        found.setdefault(headers.pop(), []).append(row.file)
+            raise ValueError(f"{file}: {len(headers)} different headers with {', '.join(needed)}")
+        found.setdefault(headers.pop(), []).append(file)
     return found
 
 
@@ -58,32 +96,56 @@ def read_text_columns(spark: SparkSession, path: str | list[str], needed: list[s
             raise ValueError(f"{files[0]}: the header repeats a name")
         schema = ", ".join(f"`{n}` STRING" for n in names)
         reader = spark.read.option("header", True).option("enforceSchema", True).option("ignoreCorruptFiles", False)
-        part = reader.option("recursiveFileLookup", True).schema(schema).csv(files)
-        part = part.select(*[F.col(f"`{n}`").alias(n.lower()) for n in names], scenario_of(F.col("_metadata.file_path")).alias("scenario"))
+        part = reader.option("recursiveFileLookup", True).schema(schema).csv([unquote(f) for f in files])
+        part = part.select(*[F.col(f"`{n}`").alias(n.lower()) for n in names], scenario_of(F.col("_metadata.file_path")).alias("scenario"), "_metadata")
         again = reduce(and_, [F.lower(F.btrim(n)).eqNullSafe(n) for n in map(str.lower, needed)])
-        parts.append(part.where(~again))
+        other = reduce(and_, [F.lower(F.btrim(n)).isin([x.lower() for x in names]) for n in map(str.lower, needed)])
+        fails = F.raise_error(F.concat(F.col("_metadata.file_path"), F.lit(f": 2 different headers with {', '.join(needed)}"))).cast("boolean")
+        parts.append(part.where(F.when(again, False).when(other, fails).otherwise(True)).drop("_metadata"))
     if not parts:
         schema = ", ".join(f"`{n.lower()}` STRING" for n in needed)
         return spark.createDataFrame([], f"{schema}, scenario STRING")
     return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
 
 
+def _count_lines(file: str) -> list[tuple]:
+    """(file, lines, whether it cannot be read to its end)."""
+    n, last = 0, b"\n"
+    try:
+        with flow_log.open_range(file) as stream:
+            while data := stream.read(flow_log.BLOCK_BYTES):
+                n += data.count(b"\n") + data.count(b"\r") - data.count(b"\r\n") - (last == b"\r" and data[:1] == b"\n")
+                last = data[-1:]
+    except (OSError, EOFError) as error:
+        if isinstance(error, FileNotFoundError | PermissionError):
+            raise
+        return [(file, None, True)]
+    return [(file, n + (last not in b"\r\n"), False)]
+
+
 def check_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(file, rows, skipped): every file under ``path``, its lines, and whether it cannot be read to its end."""
+    """(file, rows, skipped): every file under ``path``, its lines, and whether it cannot be read to its end.
+
+    One job reads all files side by side; in stores that only Spark can read it is one job per file.
+    """
+    files = sorted(spark.read.option("recursiveFileLookup", True).text(path).inputFiles())
+    schema = "file STRING, rows LONG, skipped BOOLEAN"
+    if files and all(map(stores.is_known, files)):
+        return spark.createDataFrame(sorted(map(tuple, _opened(spark, files, _count_lines, schema))), schema)
     rows = []
-    for file in sorted(spark.read.option("recursiveFileLookup", True).text(path).inputFiles()):
+    for file in files:
         try:
-            rows.append((file, spark.read.option("ignoreCorruptFiles", False).text(file).count(), False))
+            rows.append((file, spark.read.option("ignoreCorruptFiles", False).text(unquote(file)).count(), False))
         except Exception as error:  # a broken file fails in many ways, all inside the job
             if not re.search("EOF|gzip|zip|Zlib|Corrupt|corrupt|Checksum|FAILED_READ_FILE", str(error)):
                 raise
             rows.append((file, None, True))
-    return spark.createDataFrame(rows, "file STRING, rows LONG, skipped BOOLEAN")
+    return spark.createDataFrame(rows, schema)
 
 
 def readable_files(spark: SparkSession, path: str | list[str]) -> list[str]:
     """Files that can be read whole; the others are left out whole, see ``check_files``."""
-    return [r.file for r in check_files(spark, path).where("NOT skipped").collect()]
+    return [unquote(r.file) for r in check_files(spark, path).where("NOT skipped").collect()]
 
 
 def read_flows(spark: SparkSession, path: str | list[str], skip_corrupt: bool = False) -> DataFrame:
@@ -92,9 +154,15 @@ def read_flows(spark: SparkSession, path: str | list[str], skip_corrupt: bool =
     With ``skip_corrupt`` files that cannot be read to their end are left out whole.
     """
     raw = read_text_columns(spark, readable_files(spark, path) if skip_corrupt else path, ["SrcAddr", "DstAddr"])
+    return typed(raw)
+
+
+def typed(raw: DataFrame) -> DataFrame:
+    """Flows from columns of text that are named as in a log, in any case."""
+    there = {c.lower() for c in raw.columns}
     columns = []
     for header, name, kind in FLOW_COLUMNS:
-        text = F.col(f"`{header.lower()}`") if header.lower() in raw.columns else F.lit(None).cast("string")
+        text = F.col(f"`{header.lower()}`") if header.lower() in there else F.lit(None).cast("string")
         if isinstance(kind, T.TimestampType):
             value = parse_time(text)
         elif isinstance(kind, T.StringType):
@@ -105,6 +173,13 @@ def read_flows(spark: SparkSession, path: str | list[str], skip_corrupt: bool =
     return raw.select("scenario", *columns)
 
 
+def scan_flows(spark: SparkSession, path: str | list[str], columns: Sequence[str] | None = None) -> DataFrame:
+    """Typed flows by the data source ``flow_log``; with ``columns`` (our names) only those are parsed."""
+    kept = [(header, name) for header, name, _ in FLOW_COLUMNS if columns is None or name in columns]
+    raw = flow_log.scan(spark, path, [header for header, _ in kept])
+    return typed(raw).select("scenario", *[name for _, name in kept])
+
+
 def ingest(spark: SparkSession, path: str | list[str], out: str) -> DataFrame:
     """Read the logs once and store them as Parquet by scenario; scenarios that are not in the logs stay."""
     write_table(read_flows(spark, path), out)
