@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hostweave.functions.columns import port_number
@@ -22,6 +22,7 @@ from hostweave.operators import (
     peeling,
     placing,
     roles,
+    sketches,
     synth,
     triangles,
     validate,
@@ -549,6 +550,41 @@ def harmonic_hll_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distance.harmonic_sketch(edge_list).join(exact, "id").select("id", near.alias("near"))
 
 
+def _states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """States of all scenarios, stored one scenario after the other."""
+    folder, log = fresh(spark, "states"), flows(spark, sf_dir, True)
+    for scenario in ("A", "N", "R"):
+        sketches.add_states(log.where(F.col("scenario") == scenario), folder)
+    return sketches.read_states(spark, folder)
+
+
+def attr_hist_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether every interval of the histograms from merged sketches holds the share of values that it says."""
+    found = cut(sketches.sketch_histograms(sketches.merged_attributes(_states(spark, sf_dir)[0])))
+    counts = histograms.attribute_counts(flows(spark, sf_dir)).where("value is not null")
+    edges = found.groupBy("attribute").agg(F.sort_array(F.collect_list("lo")).alias("lows"))  # at most 100 each
+    bin_ = F.greatest(F.size(F.filter("lows", lambda e: e < F.col("value"))), F.lit(1))
+    exact = counts.join(F.broadcast(edges), "attribute").groupBy("attribute", bin_.alias("bin")).agg(F.sum("n").alias("there"))
+    bound = 2 * (sketches.RANK_ERROR + 1 / sketches.GRID)
+    exact = counts.groupBy("attribute").agg(F.sum("n").alias("rows")).join(exact, "attribute")
+    joined = found.join(exact, ["attribute", "bin"], "full")
+    near = F.coalesce(F.abs(F.col("p") - F.col("there") / F.col("rows")) <= bound, F.col("p") <= bound, F.lit(False))
+    return joined.groupBy("attribute").agg(F.max("total").alias("n"), F.min(near).alias("within"))
+
+
+def distinct_hosts_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the sketched numbers of hosts of each scenario, and of those that stayed or are new, are near the exact ones."""
+    told = sketches.host_changes(_states(spark, sf_dir)[1])
+    hosts = cut(graph.nodes(graph.flow_edges(flows(spark, sf_dir, True))))
+    order = Window.orderBy("scenario")  # a row for each scenario
+    follows = hosts.select("scenario").distinct().select("scenario", F.lag("scenario").over(order).alias("before"))
+    earlier = hosts.select(F.col("scenario").alias("before"), "id", F.lit(1).alias("was"))
+    now = hosts.join(F.broadcast(follows), "scenario").join(earlier, ["before", "id"], "left")
+    exact = now.groupBy("scenario").agg(F.count("*").alias("hosts"), F.count("was").alias("stayed"))
+    near = lambda a, b: (F.abs(F.col(a) - b) <= sketches.COUNT_ERROR * F.col("n_together")).alias(a)
+    return told.join(exact, "scenario").select("scenario", near("n_hosts", F.col("hosts")), near("n_stayed", F.col("stayed")), near("n_new", F.col("hosts") - F.col("stayed")))
+
+
 def queries() -> dict[str, Query]:
     return {
         "edges_distinct": on_edges(lambda e: e),
@@ -659,6 +695,8 @@ def queries() -> dict[str, Query]:
                 role_offsets,
                 role_sample,
                 harmonic_hll_bound,
+                attr_hist_sketch,
+                distinct_hosts_overlap,
             )
         },
     }

@@ -587,6 +587,8 @@ def oracle_sql() -> dict[str, str]:
         " FROM rdeg WINDOW w AS (PARTITION BY role ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",
         "role_sample": f"SELECT role, id FROM (SELECT role, id, row_number() OVER (PARTITION BY role ORDER BY {_hash_number('sample', 'id')}, id) AS rn FROM rdeg) WHERE rn <= 20",
         "harmonic_hll_bound": "SELECT id, true AS near FROM deg",
+        "attr_hist_sketch": f"SELECT attribute, count(val) AS n, true AS within FROM ({_attributes('flows', False)}) WHERE val IS NOT NULL GROUP BY attribute",
+        "distinct_hosts_overlap": "SELECT DISTINCT scenario, true AS n_hosts, true AS n_stayed, true AS n_new FROM flows_s",
     }
     result = {name: _query(final, ctes) for name, final in sql.items()}
     reports = {
