@@ -23,53 +23,74 @@ class Chain:
 
 
 def fit(
-    active: np.ndarray, labels: np.ndarray, known: np.ndarray, n_features: int, n_labels: int = 3, rounds: int = 60, rate: float = 0.25, ridge: float = 1e-4
+    active: np.ndarray,
+    labels: np.ndarray,
+    known: np.ndarray,
+    n_features: int,
+    n_labels: int = 3,
+    rounds: int = 60,
+    rate: float = 0.25,
+    ridge: float = 1e-4,
+    batches: int = 1,
 ) -> Chain:
-    """Maximise the conditional likelihood by full-batch Adam.
+    """Maximise the conditional likelihood by Adam, in ``rounds`` passes over ``batches`` parts of the sequences.
 
     ``active`` is sequences x tokens x slots, ``labels`` and ``known`` sequences x tokens; ``known`` is a prefix of ones.
-    Only moves that ``labels`` could make are scored, so the order of sequences does not matter.
+    Part k has every ``batches``-th sequence from the k-th on. With several parts the rate falls to a tenth.
     """
     model = Chain(np.zeros((n_features, n_labels)), np.zeros((n_labels, n_labels)))
-    n, length, slots = active.shape
-    if not n:
+    if not len(active):
         return model
+    moments = [np.zeros_like(model.weights), np.zeros_like(model.weights), np.zeros_like(model.step), np.zeros_like(model.step)]
+    steps = rounds * batches
+    for k in range(1, steps + 1):
+        part = slice((k - 1) % batches, None, batches)
+        if not len(active[part]):
+            continue
+        now = rate * 0.1 ** (k / steps) if batches > 1 else rate
+        for i, (at, g) in enumerate(zip((model.weights, model.step), _gradient(model, active[part], labels[part], known[part]), strict=True)):
+            g = g - ridge * at
+            moments[2 * i] = 0.9 * moments[2 * i] + 0.1 * g
+            moments[2 * i + 1] = 0.99 * moments[2 * i + 1] + 0.01 * g * g
+            at += now * (moments[2 * i] / (1 - 0.9**k)) / (np.sqrt(moments[2 * i + 1] / (1 - 0.99**k)) + 1e-8)
+    return model
+
+
+def _soft(x: np.ndarray, axis: int) -> np.ndarray:
+    m = x.max(axis, keepdims=True)
+    return m.squeeze(axis) + np.log(np.exp(x - m).sum(axis))
+
+
+def _gradient(model: Chain, active: np.ndarray, labels: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient of the mean conditional log-likelihood of a token, by forward and backward sums."""
+    n, length, slots = active.shape
+    n_features, n_labels = model.weights.shape
     mask = known.astype(float)
     both = mask[:, 1:] * mask[:, :-1]
     tokens = max(1.0, mask.sum())
     flat = active.reshape(-1, slots)
-    rows = np.arange(n)
     gold = np.zeros((n, length, n_labels))
-    gold[rows[:, None], np.arange(length)[None, :], labels] = mask
+    gold[np.arange(n)[:, None], np.arange(length)[None, :], labels] = mask
     gold_step = np.zeros((n_labels, n_labels))
     np.add.at(gold_step, (labels[:, :-1].ravel(), labels[:, 1:].ravel()), both.ravel())
-    moments = [np.zeros_like(model.weights), np.zeros_like(model.weights), np.zeros_like(model.step), np.zeros_like(model.step)]
-    soft = lambda x, axis: (m := x.max(axis, keepdims=True)).squeeze(axis) + np.log(np.exp(x - m).sum(axis))
-    for k in range(1, rounds + 1):
-        e = model.emissions(flat).reshape(n, length, n_labels)
-        ahead, back = np.zeros_like(e), np.zeros_like(e)
-        ahead[:, 0] = e[:, 0]
-        for t in range(1, length):
-            new = soft(ahead[:, t - 1, :, None] + model.step[None], 1) + e[:, t]
-            ahead[:, t] = np.where(mask[:, t, None] > 0, new, ahead[:, t - 1])
-        total = soft(ahead[:, -1], 1)
-        for t in range(length - 2, -1, -1):
-            new = soft(model.step[None] + (e[:, t + 1] + back[:, t + 1])[:, None, :], 2)
-            back[:, t] = np.where(mask[:, t + 1, None] > 0, new, 0.0)
-        share = np.exp(ahead + back - total[:, None, None]) * mask[:, :, None]
-        pair = np.exp(ahead[:, :-1, :, None] + model.step + (e + back)[:, 1:, None, :] - total[:, None, None, None]) * both[:, :, None, None]
-        diff = (gold - share).reshape(-1, n_labels)
-        grad = np.zeros_like(model.weights)
-        for label in range(n_labels):
-            value = diff[:, label]
-            for slot in range(slots):
-                grad[:, label] += np.bincount(flat[:, slot], value, n_features)
-        for i, (at, g) in enumerate(((model.weights, grad), (model.step, gold_step - pair.sum((0, 1))))):
-            g = g / tokens - ridge * at
-            moments[2 * i] = 0.9 * moments[2 * i] + 0.1 * g
-            moments[2 * i + 1] = 0.99 * moments[2 * i + 1] + 0.01 * g * g
-            at += rate * (moments[2 * i] / (1 - 0.9**k)) / (np.sqrt(moments[2 * i + 1] / (1 - 0.99**k)) + 1e-8)
-    return model
+    e = model.emissions(flat).reshape(n, length, n_labels)
+    ahead, back = np.zeros_like(e), np.zeros_like(e)
+    ahead[:, 0] = e[:, 0]
+    for t in range(1, length):
+        new = _soft(ahead[:, t - 1, :, None] + model.step[None], 1) + e[:, t]
+        ahead[:, t] = np.where(mask[:, t, None] > 0, new, ahead[:, t - 1])
+    total = _soft(ahead[:, -1], 1)
+    for t in range(length - 2, -1, -1):
+        new = _soft(model.step[None] + (e[:, t + 1] + back[:, t + 1])[:, None, :], 2)
+        back[:, t] = np.where(mask[:, t + 1, None] > 0, new, 0.0)
+    share = np.exp(ahead + back - total[:, None, None]) * mask[:, :, None]
+    pair = np.exp(ahead[:, :-1, :, None] + model.step + (e + back)[:, 1:, None, :] - total[:, None, None, None]) * both[:, :, None, None]
+    diff = (gold - share).reshape(-1, n_labels)
+    grad = np.zeros_like(model.weights)
+    for label in range(n_labels):
+        value = np.repeat(diff[:, label], slots)
+        grad[:, label] = np.bincount(flat.ravel(), value, n_features)
+    return grad / tokens, (gold_step - pair.sum((0, 1))) / tokens
 
 
 def decode(model: Chain, scores: np.ndarray, first: np.ndarray, outside: int = 2) -> np.ndarray:

@@ -133,3 +133,59 @@ def test_without_examples(spark):
     assert {tuple(r.spans) for r in S.scan(docs, S.fit(docs)).collect()} == {()}
     empty = documents(spark, [])
     assert S.scan(empty, S.fit(empty)).count() == 0
+
+
+def planted(rng, form):
+    """What stands before a secret that no pattern finds, and the secret."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    drawn = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    return {"bearer": ("Authorization: Bearer ", drawn(40)), "bare": ("", drawn(32)), "prefix": ("", "ghp_" + drawn(36)), "short": ("pwd=", drawn(8))}[form]
+
+
+@pytest.mark.parametrize("form,least", [("bearer", 0.9), ("bare", 0.9), ("prefix", 0.9), ("short", 0.6)])
+def test_forms_unlike_those_it_has_seen(spark, form, least):
+    """All that the table has are ``token = "..."`` with hexadecimal values; the field finds others and leaves prose alone."""
+    rng = random.Random(12)
+    hexed = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    rows = []
+    for i in range(1500):
+        words = prose(rng, 80, 3000).split()
+        if i % 10 == 0:
+            words.insert(rng.randrange(80), f'token = "{hexed(40)}"')
+        if i % 7 == 0:
+            words.insert(rng.randrange(len(words)), rng.choice(["see https://ba.example.com/a/b1?x=22", "mail ba.12@mail.example.com", "0123456789012345", "+49 123-456-7890"]))
+        rows.append((i, " ".join(words)))
+    model = S.fit(documents(spark, rows))
+    texts, want = [], {}
+    for i in range(80):
+        words = prose(rng, 60, 3000).split()
+        before, secret = planted(rng, form)
+        head = " ".join(words[: rng.randrange(61)])
+        lead = f"{head} {before}" if head else before
+        texts.append((i, f"{lead}{secret} {' '.join(words)}"))
+        want[i] = (len(lead), len(lead) + len(secret))
+    got = {r.doc_id: r.spans for r in S.scan(documents(spark, texts), model).collect()}
+    found = sum(any(s.kind == "field" and s.start < b and s.end > a for s in got[i]) for i, (a, b) in want.items())
+    assert found >= least * 80
+    clean = S.scan(documents(spark, [(i, prose(rng, 80, 3000)) for i in range(2000)]), model).collect()
+    assert sum(any(s.kind == "field" for s in r.spans) for r in clean) <= 2
+
+
+def test_parts_beyond_the_patterns_spans():
+    assert S.outside(5, 20, []) == [(5, 20)]
+    assert S.outside(5, 20, [(7, 10), (12, 30)]) == [(5, 7), (10, 12)]
+    assert S.outside(5, 20, [(0, 40)]) == [] and S.outside(5, 20, [(20, 30), (0, 5)]) == [(5, 20)]
+
+
+def test_few_fragments_move(spark, rows):
+    """However many matches there are, about as many as asked for leave the tasks, and one row of equal ones."""
+    from hostweave.llm import sampling
+
+    texts = documents(spark, [(i, f"words token={i:024x} and more") for i in range(5000)] + [(None, "token=aaaaaaaa")] * 500)
+    from pyspark.sql import functions as F
+
+    every = texts.select(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")).alias("h"), "text")
+    bound = sampling.hash_bound(S._matches(every, keys_only=True), "key", 50)
+    assert 50 <= S._matches(every, bound).select("key").distinct().count() <= 200
+    assert sampling.smallest(texts, "doc_id", 40).collect() == texts.select("doc_id").distinct().where("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id")).limit(40).collect()
+    assert sampling.smallest(texts, "doc_id", 10_000).count() == 5000
