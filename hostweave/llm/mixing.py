@@ -3,14 +3,15 @@
 A source's weight is its share of all words. No source is repeated more than ``epochs`` times: sources whose share is
 more are clamped there, and what they leave is shared out among the others by weight, until none is above. A source that
 is repeated 2.3 times takes all its documents twice, and once more those first in a seeded order whose words add up to
-0.3 of it. The order is that of a hash of the id, so reruns agree, and the third time is one cut-off per source.
+0.3 of it. The order is that of a hash of id and text, so reruns agree, and the third time is one cut-off per source. Rows
+that are equal in both share a place in the order; those at the cut-off are numbered, and as many as fit are taken.
 
 The running sums behind the cut-offs go over hash buckets of each source in two passes, so no task holds a source.
 
 Defined cases: a null or empty text has size 0 and is taken as often as its source is whole; a null source is one of its
-own and comes last; rows with equal ids stand together in the order and are taken or left together; null ids count as
-one; without any words all targets are 0. Only id, source and text are read, apart from ``repeated``, which keeps all
-columns.
+own and comes last; null ids count as one, and equal ids are told apart by their texts; of rows equal in id and text any
+are taken, but as many in every run; without any words all targets are 0. Only id, source and text are read, apart from
+``repeated``, which keeps all columns, whatever they are called.
 """
 
 from __future__ import annotations
@@ -37,7 +38,8 @@ def source_key(source: str = "source") -> Column:
 
 
 def order_key(key: str, seed: int) -> Column:
-    return F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
+    text = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    return F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(f":{seed}:"), text).cast("binary"))
 
 
 def sizes(documents: DataFrame, key: str = "doc_id", source: str = "source", seed: int = SEED) -> DataFrame:
@@ -74,7 +76,11 @@ def targets(sources: DataFrame, weights: Sequence[int] = WEIGHTS, epochs: int =
 
 
 def plan(described: DataFrame, weights: Sequence[int] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
-    """(from, source_size, target, whole, last): documents are taken ``whole`` times, and once more up to ``last``."""
+    """(from, source_size, target, whole, rest, last, edge) of every source.
+
+    Documents are taken ``whole`` times, and once more up to the place ``last``; of the rows at the place ``edge``, which
+    are equal, some are. ``rest`` is what is to be taken once more, in words.
+    """
     totals = stored(described.groupBy("from").agg(F.sum("size").alias("source_size")), "totals")
     placed = running_total(totals, F.lit(1), ["from"], name="place")
     rate = F.col("target") / F.col("source_size")
@@ -83,30 +89,48 @@ def plan(described: DataFrame, weights: Sequence[int] = WEIGHTS, epochs: int = E
     )
     filled = stored(filled.withColumn("rest", F.when(F.col("whole") < epochs, F.col("target") - F.col("whole") * F.col("source_size")).otherwise(F.lit(0.0))), "filled")
     partly = described.join(filled.where("rest > 0").select("from", "place", "rest"), "from")
-    # rows with one place in the order are one step
-    steps = stored(partly.groupBy("place", "rest", "turn").agg(F.sum("size").alias("size")), "steps")
+    # rows with one place in the order are one step; they have the same text
+    steps = stored(partly.groupBy("place", "rest", "turn").agg(F.sum("size").alias("size"), F.count("*").alias("n")), "steps")
     bucket = F.conv(F.substring("turn", 1, 3), 16, 10).cast("int")
-    ahead = running_total(steps, "size", ["turn"], ["place"], bucket)
-    last = ahead.where(F.col("before") + F.col("size") / 2 <= F.col("rest")).groupBy("place").agg(F.max("turn").alias("last"))
-    return stored(filled.join(last, "place", "left").select("from", "source_size", "target", "whole", "last"), "plan")
-
-
-def copies() -> Column:
-    return (F.coalesce("whole", F.lit(0)) + F.when(F.col("turn") <= F.col("last"), F.lit(1)).otherwise(F.lit(0))).cast("long")
+    ahead = running_total(steps, "size", ["turn"], ["place"], bucket).withColumn("each", F.col("size") / F.col("n"))
+    begins = F.col("before") + F.col("each") / 2 <= F.col("rest")
+    ends = F.col("before") + F.col("each") * (F.col("n") - 1) + F.col("each") / 2 <= F.col("rest")
+    last = ahead.groupBy("place").agg(F.max(F.when(ends, F.col("turn"))).alias("last"), F.max(F.when(begins & ~ends, F.struct("turn", "before"))).alias("edge"))
+    return stored(filled.join(last, "place", "left").select("from", "source_size", "target", "whole", "rest", "last", "edge"), "plan")
+
+
+def with_copies(rows: DataFrame, planned: DataFrame) -> DataFrame:
+    """Add the plan's columns and ``copies``, how often each row is taken, to rows with (from, turn, size).
+
+    Equal rows at a cut-off are numbered in two passes: by the partition that they are read from, then within it.
+    """
+    joined = rows.join(planned, "from")
+    more = F.when(F.col("turn") <= F.col("last"), F.lit(1)).otherwise(F.lit(0))
+    if planned.where("edge IS NOT NULL").isEmpty():
+        return joined.withColumn("copies", (F.col("whole") + more).cast("long"))
+    at_edge = F.coalesce(F.col("turn") == F.col("edge.turn"), F.lit(False))
+    edge = stored(joined.where(at_edge).withColumn("part", F.spark_partition_id()), "edge")
+    numbered = running_total(edge, F.lit(1), ["turn"], ["from"], F.col("part"), "ahead")
+    fits = F.col("edge.before") + F.col("ahead") * F.col("size") + F.col("size") / 2 <= F.col("rest")
+    some = numbered.withColumn("copies", (F.col("whole") + fits.cast("int")).cast("long")).drop("part", "ahead")
+    return joined.where(~at_edge).withColumn("copies", (F.col("whole") + more).cast("long")).unionByName(some)
 
 
 def mix(documents: DataFrame, weights: Sequence[int] = WEIGHTS, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of every row."""
     described = stored(sizes(documents, seed=seed), "sizes")
-    joined = described.join(plan(described, weights, epochs), "from")
-    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * copies()).alias("taken"))
+    taken = with_copies(described, plan(described, weights, epochs))
+    return taken.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def repeated(documents: DataFrame, weights: Sequence[int] = WEIGHTS, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
     """The mix itself: every row of documents, all columns, as many times as it is taken."""
-    planned = plan(stored(sizes(documents, seed=seed), "sizes"), weights, epochs)
-    renamed = planned.select(*[F.col(c).alias(f"_mix_{c}") for c in planned.columns])
-    rows = documents.withColumns({"_mix_key": source_key(), "_mix_turn": order_key("doc_id", seed)}).join(renamed, F.col("_mix_key") == F.col("_mix_from"))
-    n = F.col("_mix_whole") + F.when(F.col("_mix_turn") <= F.col("_mix_last"), F.lit(1)).otherwise(F.lit(0))
-    each = F.explode(F.array_repeat(F.lit(0), n.cast("int")))
-    return rows.withColumn("_mix_copy", each).select(*documents.columns)
+    described = stored(sizes(documents, seed=seed), "sizes")
+    planned = plan(described, weights, epochs)
+    # the size counts only where equal rows are numbered, and follows from their place there
+    edges = described.join(planned.where("edge IS NOT NULL").select("from", "edge"), "from").where("turn = edge.turn")
+    sized = stored(edges.groupBy("from").agg(F.max("size").alias("size")), "edge_sizes")
+    # a row's own columns are kept apart, so that they can have any name
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), source_key().alias("from"), order_key("doc_id", seed).alias("turn"))
+    taken = with_copies(rows.join(sized, "from", "left"), planned)
+    return taken.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("row.*")

@@ -140,7 +140,7 @@ FROM docs d"""
 MIXING_SQL = rf"""
 WITH {WORDS},
     sized AS MATERIALIZED (SELECT d.doc_id, len(l.w) AS size, CASE WHEN d.source IS NULL THEN '1' ELSE '0' || d.source END AS f,
-              md5(coalesce(CAST(d.doc_id AS VARCHAR), '') || ':11') AS turn FROM docs d JOIN lists l USING (r)),
+              md5(coalesce(CAST(d.doc_id AS VARCHAR), '') || ':11:' || md5(d.t)) AS turn FROM docs d JOIN lists l USING (r)),
     sources AS (SELECT f, CAST(sum(size) AS BIGINT) AS s, (row_number() OVER (ORDER BY f) - 1) % 3 + 1 AS w FROM sized GROUP BY f),
     -- sources in the order in which they reach their cap; the level is that of the first source that does not
     capped AS (SELECT *, 3 * s AS cap, row_number() OVER (ORDER BY 3 * s / w, f) AS k FROM sources),
@@ -152,10 +152,10 @@ WITH {WORDS},
     rest AS (SELECT *, CASE WHEN n < 3 THEN target - n * s ELSE 0 END AS left_ FROM whole),
     steps AS (SELECT f, turn, sum(size) AS size FROM sized GROUP BY f, turn),
     ahead AS (SELECT f, turn, size, coalesce(sum(size) OVER (PARTITION BY f ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM steps),
-    last_ AS (SELECT a.f, max(a.turn) AS turn FROM ahead a JOIN rest USING (f) WHERE left_ > 0 AND a.before + a.size / 2 <= left_ GROUP BY a.f)
+    numbered AS (SELECT *, row_number() OVER (PARTITION BY f, turn) - 1 AS j FROM sized)
 SELECT d.doc_id, d.size, r.s AS source_size, CAST(r.target AS DOUBLE) AS target,
-       CAST(d.size * (r.n + CASE WHEN d.turn <= l.turn THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM sized d JOIN rest r USING (f) LEFT JOIN last_ l USING (f)"""
+       CAST(d.size * (r.n + CASE WHEN r.left_ > 0 AND a.before + d.j * d.size + d.size / 2 <= r.left_ THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM numbered d JOIN rest r USING (f) JOIN ahead a ON a.f = d.f AND a.turn = d.turn"""
 
 
 # runs of equal six-word windows at every lag; checksums by bytes with a table of the 256 remainders

@@ -73,3 +73,38 @@ def test_repeated_documents(spark, rows):
 def test_small_tables(spark, rows):
     found, _, want = run(spark, rows)
     assert sorted(r.target for r in found) == sorted(want[r[2]] for r in rows)
+
+
+def test_shared_ids_keep_targets(spark):
+    """A third of all ids null, and a third of the rows equal in everything: every source is near its target."""
+    rng = random.Random(21)
+    rows = []
+    for i in range(3000):
+        source = rng.choice("abcd")
+        rows.append((None if i % 3 == 0 else i, "same words for all of these rows" if i % 3 == 1 else prose(rng, rng.randrange(1, 30)), source))
+        if i % 3 == 1:
+            rows[-1] = (None, *rows[-1][1:])
+    found, sizes, want = run(spark, rows)
+    by_source = {sizes[s]: want[s] for s in sizes}
+    assert len(by_source) == len(sizes)
+    taken = defaultdict(int)
+    for r in found:
+        taken[r.source_size] += r.taken
+    for size, target in by_source.items():
+        assert abs(taken[size] - target) <= 0.01 * target
+    docs = documents(spark, rows)
+    words = defaultdict(int)
+    for r in M.repeated(docs).select("source", "text").collect():
+        words[r.source] += len(WORD.findall(r.text or ""))
+    assert words == {s: taken[sizes[s]] for s in sizes}
+    assert sorted(map(str, M.mix(docs).collect())) == sorted(map(str, found))
+
+
+def test_columns_of_any_name(spark):
+    from pyspark.sql import functions as F
+
+    docs = documents(spark, [(i % 5, "some words", "ab"[i % 2]) for i in range(20)])
+    for name in ("_mix_key", "from", "row", "edge", "copies", "_n", "whole", "part", "place", "last", "a b"):
+        docs = docs.withColumn(name, F.lit(1))
+    made = M.repeated(docs)
+    assert made.dtypes == docs.dtypes and made.count() == sum(r.taken // 2 for r in M.mix(docs).collect())
