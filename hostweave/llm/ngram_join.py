@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from hostweave.llm import kernel
 from hostweave.llm.components import components
 from hostweave.llm.storage import small_batches, stored
-from hostweave.operators.scale import partitions_for
+from hostweave.operators.scale import HOT_ROWS, hot_keys, partitions_for, skew_join
 
 N, THRESHOLD = 5, 0.8
 # Chance that a pair right at the threshold shares no band, and most hash functions.
@@ -296,19 +296,17 @@ def groups(documents: DataFrame, n: int = N, threshold: float = THRESHOLD, miss:
         ),
         "named",
     )
-    return described.select("doc_id", "tag", "key").join(named, "key", "left").select(
-        "doc_id",
-        "tag",
-        "key",
-        F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("class_size", F.lit(1)).alias("class_size"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
-        F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("group_id")).alias("group_id"),
-        "group_key",
+    # rows without words have no key and meet nothing; rows of a large class are dealt out
+    told = described.select("doc_id", "tag", "key").withColumn("_part", F.spark_partition_id())
+    hot = hot_keys(classes.select("key", "weight"), ["key"], "weight")
+    met = skew_join(told.where("key IS NOT NULL"), named, ["key"], hot, ["doc_id", "tag", "_part"])
+    alone = told.where("key IS NULL").select(
+        "doc_id", "tag", "key", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("group_id"), F.lit(None).cast("binary").alias("group_key")
     )
+    return met.select(alone.columns).unionByName(alone)
 
 
-def one_of_each(documents: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+def one_of_each(documents: DataFrame, n: int = N, threshold: float = THRESHOLD, hot_rows: int | None = None) -> DataFrame:
     """Rows of documents, all columns, without those linked to one with a smaller id, directly or over others.
 
     Of each group the row with the smallest id stays, null last, then by a hash of the text; of rows equal in both, one.
@@ -318,15 +316,22 @@ def one_of_each(documents: DataFrame, n: int = N, threshold: float = THRESHOLD)
     best = found.groupBy("group_key").agg(F.min(rank).alias("best"), F.count("*").alias("n")).where("n > 1")
     best = stored(best.select("group_key", "best.id", "best.tag"), "best")
     # rows to leave out, and rows of which one copy stays
-    same = found.groupBy("id", "tag", "group_key").agg(F.count("*").alias("rows"))
+    same = stored(found.groupBy("id", "tag", "group_key").agg(F.count("*").alias("rows")), "same")
     verdict = same.join(best.select("group_key", F.col("id").alias("best_id"), F.col("tag").alias("best_tag")), "group_key")
     stays = (F.col("id") == F.col("best_id")) & (F.col("tag") == F.col("best_tag"))
-    verdict = stored(
-        verdict.where(~stays | (F.col("rows") > 1)).select(F.col("id").alias("_id"), F.col("tag").alias("_tag"), stays.alias("_stays")), "verdict"
-    )
-    # texts are moved once, by the same plan at any size; repeated rows meet there as well
-    rows = documents.withColumns({"_one_id": _id(), "_one_tag": F.xxhash64("text")})
-    on = (F.col("_one_id") == F.col("_id")) & (F.col("_one_tag") == F.col("_tag"))
-    nth = F.row_number().over(Window.partitionBy("_one_id", "_one_tag").orderBy("_one_id"))
-    joined = rows.join(verdict.hint("merge"), on, "left").withColumn("_nth", nth)
-    return joined.where("_stays IS NULL OR (_stays AND _nth = 1)").select(*documents.columns)
+    verdict = stored(verdict.where(~stays | (F.col("rows") > 1)).select("id", "tag", stays.alias("stays"), "rows"), "verdict")
+    # a row's own columns are kept apart, so that they can have any name
+    own = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")
+    rows = documents.select(_id().alias("id"), F.xxhash64("text").alias("tag"), own)
+    # rows that repeat very often are settled without moving them: tasks keep one each; there are few such rows
+    often = F.col("rows") > (hot_rows or HOT_ROWS)
+    hot = stored(verdict.where(often).select("id", "tag", "stays"), "hot")
+    few, once = rows, None
+    if not hot.isEmpty():
+        few = rows.join(F.broadcast(hot), ["id", "tag"], "left_anti")
+        once = rows.join(F.broadcast(hot.where("stays")), ["id", "tag"], "left_semi").groupBy("id", "tag").agg(F.first("row").alias("row")).select("row.*")
+    # other texts are moved once, by the same plan at any size; repeated rows meet there as well
+    nth = F.row_number().over(Window.partitionBy("id", "tag").orderBy("id"))
+    joined = few.join(verdict.where(~often).select("id", "tag", "stays").hint("merge"), ["id", "tag"], "left").withColumn("nth", nth)
+    kept = joined.where("stays IS NULL OR (stays AND nth = 1)").select("row.*")
+    return kept if once is None else kept.unionByName(once)

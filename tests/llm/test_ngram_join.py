@@ -113,3 +113,20 @@ def test_components(spark):
 def test_empty_table(spark):
     empty = documents(spark, [])
     assert J.groups(empty).count() == 0 and J.one_of_each(empty).count() == 0
+
+
+def test_one_of_each_with_any_names_and_many_repeats(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(31)
+    text = prose(rng, 60)
+    rows = [(None, text)] * 30 + [(7, text + " more")] + [(i, prose(rng, 40)) for i in range(10, 30)] + [(None, "")] * 5 + [(40, "alone"), (40, "alone"), (None, None)]
+    docs = documents(spark, rows)
+    for name in ("_id", "_tag", "_stays", "_one_id", "id", "tag", "row", "stays", "nth", "rows", "group_key", "a b"):
+        docs = docs.withColumn(name, F.lit(1))
+    want = sorted(str(r) for r in {(7, text + " more"), (40, "alone")} | {r for r in rows if r[0] is not None and 10 <= r[0] < 30}) + sorted(str(r) for r in rows if not r[1])
+    for hot_rows in (None, 3):
+        made = J.one_of_each(docs, hot_rows=hot_rows)
+        assert made.columns == docs.columns
+        got = [(r.doc_id, r.text) for r in made.collect()]
+        assert sorted(str(r) for r in got if r[1]) + sorted(str(r) for r in got if not r[1]) == want
