@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hostweave.llm import kernel
+from hostweave.llm import kernel, sampling
 from hostweave.llm.storage import stored
 
 # Bounds of the index: vectors it is fitted on, and lists.
@@ -209,7 +209,7 @@ def build(vectors: DataFrame, k: int, sample: int = SAMPLE_VECTORS, most_lists:
     if not n:
         return Index(None, entries.select(F.lit(0).alias("list"), "v", "ids"))
     # a bounded sample in hash order
-    raw = entries.select("v").orderBy(F.xxhash64("v"), "v").limit(sample).toArrow()
+    raw = sampling.below(entries.select("v", F.xxhash64("v").alias("h")), "h", sample).orderBy("h", "v").limit(sample).select("v").toArrow()
     x = unit(matrix(raw.column("v").combine_chunks()))
     lists = 1 << max(0, round(math.log2(min(most_lists, max(1.0, 2.0 * math.sqrt(n)), max(1, len(x) // 8)))))
     graph = Graph.build(balanced_centroids(x, lists))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hostweave.llm import boosting, kernel
+from hostweave.llm import boosting, kernel, sampling
 from hostweave.llm.storage import small_batches
 
 # Bound of the labelled rows that are fitted on.
@@ -167,23 +167,23 @@ def features(data: np.ndarray, offsets: np.ndarray, lexicon: np.ndarray, weights
 
 
 def held_out(doc_id: Column) -> Column:
-    """Documents whose labels are never learnt from."""
-    return F.crc32(doc_id.cast("string")) % 5 == 0
+    """Documents whose labels are never learnt from; a document without an id is none of them."""
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
 def training_rows(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(doc_id, toxic, part, text) of a sample in hash order; parts 0 to 4 are about equal in size."""
+    """(doc_id, toxic, part, text) of a sample in hash order; parts 0 to 4 are about equal in size. An id has one row."""
     known = (
         labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy("doc_id")
         .agg(F.max("toxic").alias("toxic"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(rows)
-    )
-    # at most ``rows`` pairs of numbers
-    return small_batches(documents).select("doc_id", "text").join(F.broadcast(known), "doc_id").withColumn(
-        "part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(5)).cast("int")
+        .withColumn("_h", F.xxhash64("doc_id"))
     )
+    known = sampling.below(known, "_h", rows).orderBy("_h", "doc_id").limit(rows).drop("_h")
+    # at most ``rows`` pairs of numbers, and of rows with one id the text with the smallest hash
+    texts = small_batches(documents).select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    one = texts.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    return one.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(5)).cast("int"))
 
 
 def fit(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:

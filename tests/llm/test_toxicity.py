@@ -84,3 +84,21 @@ def test_without_labels(spark, labelled):
     model = toxicity.fit(docs, labels.limit(0))
     assert {r.score for r in toxicity.score(docs, model).collect()} <= {0.5} or len({r.score for r in toxicity.score(docs, model).collect()}) == 1
     assert toxicity.score(docs.limit(0), model).count() == 0
+
+
+def test_a_labelled_id_on_very_many_rows(spark, labelled):
+    """An id counts once in what is learnt, however many rows have it."""
+    docs, labels = labelled
+    row = docs.where("doc_id = 4").limit(1)
+    many = docs.unionByName(row.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(100_000)))).drop("k"))
+    taken = toxicity.training_rows(many, labels)
+    assert taken.count() == taken.select("doc_id").distinct().count() == toxicity.training_rows(docs, labels).count()
+    small = toxicity.training_rows(many, labels, 100).select("doc_id").collect()
+    assert 98 <= len(small) <= 100  # a label without a document may be among them
+
+
+def test_held_out_is_never_null(spark):
+    df = spark.createDataFrame([(None,), (5,), (6,)], "doc_id long").select("doc_id", toxicity.held_out(F.col("doc_id")).alias("h"))
+    import zlib
+
+    assert {r.doc_id: r.h for r in df.collect()} == {None: False} | {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in (5, 6)}
