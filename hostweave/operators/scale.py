@@ -226,12 +226,12 @@ class Wires:
         # a filled cache tells the planner its partitioning, so that rounds do not shuffle the links again
         self.links.count()
 
-    def carry(self, state: DataFrame, *values: str) -> DataFrame:
-        """One row (id, values of the sender) per link whose sender is in ``state``."""
+    def carry(self, state: DataFrame, *values: str, of_link: Sequence[str] = ()) -> DataFrame:
+        """One row (id, values of the sender, columns ``of_link`` of the link) per link whose sender is in ``state``."""
         sent = state.select(*self.by, F.col("id").alias("nbr"), *values)
         if self.hot is not None:
             sent = spread(sent, self.key, self.hot)
-        return self.links.join(sent, self.on).select(*self.by, "id", *values)
+        return self.links.join(sent, self.on).select(*self.by, "id", *values, *of_link)
 
     def close(self) -> None:
         self.links.unpersist()
