@@ -211,7 +211,7 @@ def url_sql() -> str:
                 f" FROM {now} h LEFT JOIN links l ON l.{dst} = h.host LEFT JOIN {now} p ON p.host = l.{src} LEFT JOIN {name}out o ON o.host = l.{src} GROUP BY h.host)"
             )
     last = url_filters.ROUNDS
-    parts.append(f"verdicts AS (SELECT t.host, round(d.v, 9) > round(t.v, 9) AS bad FROM t{last} t JOIN d{last} d USING (host))")
+    parts.append(f"verdicts AS (SELECT t.host, d.v > t.v * {1 + url_filters.SAME} AS bad FROM t{last} t JOIN d{last} d USING (host))")
     return "WITH " + ",\n".join(parts) + (
         "\nSELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN v.bad THEN 'block' ELSE 'allow' END) AS verdict FROM judged LEFT JOIN verdicts v USING (host)"
     )

@@ -123,5 +123,33 @@ def test_ranks_reach_the_end_of_a_chain(spark):
         U.spread(links, spark.createDataFrame(list(seeds.items()), "host string, seed double"), rounds=30)
 
 
+def test_hubs_that_are_dealt_out(spark):
+    """The shared tests of ``Wires`` show that rounds do not move links; here links of hubs lie in several parts."""
+    rng = random.Random(7)
+    links = {(f"h{rng.randrange(30)}", f"h{rng.randrange(30)}"): rng.randrange(1, 4) for _ in range(120)}
+    links = {(a, b): n for (a, b), n in links.items() if a != b} | {("hub", f"h{i}"): 1 for i in range(30)}
+    df = spark.createDataFrame([(a, b, n) for (a, b), n in links.items()], "src string, dst string, n long")
+    seeds = {h: float(h in ("hub", "h3")) for pair in links for h in pair}
+    want = rank(links, seeds)
+    found = {r.host: r["rank"] for r in U.spread(df, spark.createDataFrame(list(seeds.items()), "host string, seed double"), hot_rows=3).collect()}
+    assert all(found[h] == pytest.approx(want[h], rel=1e-4) for h in want)
+
+
+def test_sql_says_the_same_where_there_are_links(spark, tmp_path):
+    import duckdb
+
+    from hostweave.llm import queries
+
+    rng = random.Random(11)
+    hosts = [f"h{i}.{rng.choice(['com', 'net', 'example.org'])}" for i in range(20)]
+    rows = [(f"https://{rng.choice(hosts)}{rng.choice(['/fr/1', '/de/2', '/en/1', ''])}", "".join(f'<a href="http://{rng.choice(hosts)}/x">' for _ in range(rng.randrange(4)))) for _ in range(80)]
+    pages(spark, rows).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    ours = U.judge(spark.read.parquet(str(tmp_path / "pages.parquet"))).orderBy("page_id").collect()
+    theirs = con.execute(queries.oracle_sql()["op3_url_filters"] + " ORDER BY page_id").fetchall()
+    assert [tuple(r) for r in ours] == theirs and len({r.verdict for r in ours}) == 2
+
+
 def test_empty_table(spark):
     assert U.judge(pages(spark, [])).count() == 0
