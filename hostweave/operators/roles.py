@@ -79,7 +79,9 @@ def fit_centroids(scaled: DataFrame, n_roles: int = 4, seed: int = 0, rounds: in
     drawn = scaled.withColumn("h", draw_number(seed, "start", draw_key("id")))
     order = ["h", "id"]
     if keys:
-        first = drawn.withColumn("role", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).where(F.col("role") < n_roles)
+        # the bound on the plain rank lets every task drop all but its first hosts before they meet
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        first = drawn.withColumn("rank", rank).where(F.col("rank") <= n_roles).withColumn("role", F.col("rank") - 1).drop("rank")
     else:
         first = drawn.orderBy(*order).limit(n_roles).withColumn("role", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1)
     rounded = [F.round(c, CENTRE_DIGITS).alias(c) for c in FEATURES]

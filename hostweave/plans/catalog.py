@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from hostweave.functions.columns import port_number
 from hostweave.operators import (
     distance,
+    estimates,
     graph,
     histograms,
     pagerank,
@@ -178,6 +179,12 @@ def missing_bots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roles.missing_bots(log, graph.in_degree(graph.edges(log)))
 
 
+def missing_bots_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bot hosts of the log that send none of its largest flows."""
+    log = flows(spark, sf_dir)
+    return roles.missing_bots(log, graph.edges(log.where("tot_pkts = 50")).select(F.col("src").alias("id")).distinct())
+
+
 def fixed_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flow-degree ranges of the bot hosts, with role 1 as the bot role."""
     log = flows(spark, sf_dir)
@@ -550,6 +557,15 @@ def harmonic_hll_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distance.harmonic_sketch(edge_list).join(exact, "id").select("id", near.alias("near"))
 
 
+def triangle_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the estimate from three tenths of the edges lies within five deviations of the exact number."""
+    edge_list = stored_edges(spark, sf_dir, True)
+    told = estimates.triangle_estimate(edge_list)
+    exact = triangles.triangles(edge_list).groupBy("scenario").agg((F.sum("triangles") / 3).alias("exact"))
+    near = F.abs(F.col("triangles") - F.col("exact")) <= 5 * F.sqrt("variance")
+    return told.join(exact, "scenario").select("scenario", F.col("exact").cast("long").alias("exact"), near.alias("near"))
+
+
 def _states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """States of all scenarios, stored one scenario after the other."""
     folder, log = fresh(spark, "states"), flows(spark, sf_dir, True)
@@ -631,6 +647,7 @@ def queries() -> dict[str, Query]:
         "flow_degrees": lambda s, d: graph.flow_degrees(flows(s, d)),
         "bot_hosts": lambda s, d: roles.bot_hosts(flows(s, d)),
         "missing_bots": missing_bots,
+        "missing_bots_large": missing_bots_large,
         "bot_profile": bot_profile,
         "bot_role": bot_role,
         "bot_role_unscaled": bot_role_unscaled,
@@ -695,6 +712,7 @@ def queries() -> dict[str, Query]:
                 role_offsets,
                 role_sample,
                 harmonic_hll_bound,
+                triangle_estimate,
                 attr_hist_sketch,
                 distinct_hosts_overlap,
             )

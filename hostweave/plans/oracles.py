@@ -190,6 +190,11 @@ def _intersection(first: str, second: str, k: str) -> dict[str, str]:
     }
 
 
+def _binned(table: str) -> str:
+    """Values with seven decimals, or with as many more as the narrow bins of their property call for."""
+    return f"SELECT property, CASE WHEN digits > 7 THEN round(val * pow(10.0, digits)) / pow(10.0, digits) ELSE round(val, 7) END AS val FROM {table} JOIN digits7 USING (property)"
+
+
 def _degree_rows(flows: str, k: str, total: bool) -> str:
     """(property, val) of the flow degrees of every host of a flow table."""
     degree = "UNPIVOT (SELECT {k}id, CAST(sum(i) AS DOUBLE) AS indegree, CAST(sum(o) AS DOUBLE) AS outdegree{t} FROM (" \
@@ -466,6 +471,14 @@ def oracle_sql() -> dict[str, str]:
             f" FROM deg_h{tag} d LEFT JOIN nbn_h{tag} n USING (id) LEFT JOIN inner_t_h{tag} i USING (id)"
             f" UNION ALL SELECT 'core', core FROM core_t_h{tag}"
         )
+    ctes["ends7"] = (
+        "SELECT property, min(val) AS lo, max(val) AS hi, least(sum(h1), sum(h2)) AS n"
+        " FROM (SELECT property, val, 1 AS h1, 0 AS h2 FROM seven1 UNION ALL SELECT property, val, 0, 1 FROM seven2) GROUP BY property"
+    )
+    ctes["digits7"] = (
+        "SELECT property, CASE WHEN w > 0 AND w < 1e-6 THEN greatest(7, least(3 - floor(log10(w)), 12 - ceil(log10(greatest(abs(lo), abs(hi)))))) ELSE 7 END AS digits"
+        " FROM (SELECT *, (hi - lo) / greatest(n // 2, 1) AS w FROM ends7)"
+    )
     features_s = """
         SELECT d.scenario, d.id, d.indegree, d.outdegree,
                round(a.d, 9) AS average_neighbor_degree, coalesce(i.t, 0) AS triangles,
@@ -524,6 +537,7 @@ def oracle_sql() -> dict[str, str]:
         "flow_degrees": "SELECT * FROM fdeg",
         "bot_hosts": "SELECT id FROM bots",
         "missing_bots": "SELECT id FROM bots WHERE id NOT IN (SELECT dst FROM edges)",
+        "missing_bots_large": "SELECT id FROM bots WHERE id NOT IN (SELECT src_addr FROM flows WHERE tot_pkts = 50)",
         "bot_profile": "SELECT * REPLACE (" + ", ".join(f"round(mean_{c}, 9) AS mean_{c}" for c in FEATURES) + ") FROM profile",
         "bot_role": bot_role(True),
         "bot_role_unscaled": bot_role(False),
@@ -587,6 +601,7 @@ def oracle_sql() -> dict[str, str]:
         " FROM rdeg WINDOW w AS (PARTITION BY role ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",
         "role_sample": f"SELECT role, id FROM (SELECT role, id, row_number() OVER (PARTITION BY role ORDER BY {_hash_number('sample', 'id')}, id) AS rn FROM rdeg) WHERE rn <= 20",
         "harmonic_hll_bound": "SELECT id, true AS near FROM deg",
+        "triangle_estimate": "SELECT d.scenario, CAST(coalesce(sum(i.t), 0) AS BIGINT) // 3 AS exact, true AS near FROM deg_s d LEFT JOIN inner_t_s i USING (scenario, id) GROUP BY d.scenario",
         "attr_hist_sketch": f"SELECT attribute, count(val) AS n, true AS within FROM ({_attributes('flows', False)}) WHERE val IS NOT NULL GROUP BY attribute",
         "distinct_hosts_overlap": "SELECT DISTINCT scenario, true AS n_hosts, true AS n_stayed, true AS n_new FROM flows_s",
     }
@@ -595,7 +610,7 @@ def oracle_sql() -> dict[str, str]:
         "hist_equal_width": (_degree_rows("half1", "", True), _degree_rows("half2", "", True), "", "SELECT * FROM ewh"),
         "hist_intersection": ("SELECT * FROM prop1", "SELECT * FROM prop2", "", "SELECT * FROM report_"),
         "validation_report": (_degree_rows("half1", "", False), _degree_rows("half2", "", False), "", "SELECT * FROM report_"),
-        "validation_seven": ("SELECT property, round(val, 7) AS val FROM seven1", "SELECT property, round(val, 7) AS val FROM seven2", "", "SELECT * FROM report_"),
+        "validation_seven": (_binned("seven1"), _binned("seven2"), "", "SELECT * FROM report_"),
         "validation_halves": (
             _degree_rows("half1_s", "scenario, ", False),
             _degree_rows("half2_s", "scenario, ", False),
