@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 # Rows on which costs and rejections are estimated.
 SAMPLE_ROWS = 2_000
+# How often each of them is looked at, and the least that a rule is taken to cost.
+TIMES, LEAST_SECONDS = 10, 1e-3
 WINDOW_WORDS = 8
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
@@ -131,14 +133,23 @@ def estimate(documents: DataFrame, rules: Sequence[Rule], rows: int = SAMPLE_ROW
     sample = describe(part).where(~base_failed()).persist()
     try:
         n = max(1, sample.count())
-        found = []
-        for rule in rules:
-            seconds, hits = float("inf"), 0
+        # every row several times, so that a rule's work is more than starting a job, which a rule without work tells
+        again = sample.withColumn("_again", F.explode(F.sequence(F.lit(1), F.lit(TIMES))))
+
+        def timed(rejects: Column) -> tuple[float, int]:
+            best, hits = float("inf"), 0
             for _ in range(repeats):
                 began = time.perf_counter()
-                hits = sample.agg(F.count_if(rule.rejects)).first()[0]
-                seconds = min(seconds, time.perf_counter() - began)
-            found.append(Estimate(rule, seconds, hits / n))
+                hits = again.agg(F.count_if(rejects)).first()[0]
+                best = min(best, time.perf_counter() - began)
+            return best, hits
+
+        timed(F.col("n_words") < 0)  # the first jobs take longer
+        nothing = timed(F.col("n_words") < 0)[0]
+        found = []
+        for rule in rules:
+            seconds, hits = timed(rule.rejects)
+            found.append(Estimate(rule, max(seconds - nothing, LEAST_SECONDS), hits / TIMES / n))
     finally:
         sample.unpersist()
     # rules that reject nothing in the sample go last, the cheap ones first

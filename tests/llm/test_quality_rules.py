@@ -78,3 +78,12 @@ def test_clean_prose_is_kept(spark):
 
 def test_empty_table(spark):
     assert Q.judge(documents(spark, [])).count() == 0
+
+
+def test_costs_are_those_of_the_rules(spark):
+    """Starting a job is not counted: a rule without work costs next to nothing, one that reads texts does."""
+    rng = random.Random(3)
+    docs = documents(spark, [(i, prose(rng, 400)) for i in range(400)])
+    rules = [Q.Rule("none", F.col("n_words") > 10**6), Q.Rule("reads", 10 * F.regexp_count("text", F.lit(Q.DOUBLED)) > 30 * F.col("n_words"))]
+    found = {e.rule.name: e.seconds for e in Q.estimate(docs, rules)}
+    assert found["none"] < 0.2 * found["reads"]
