@@ -9,9 +9,15 @@ from hostweave.sources.schema import BOT_MARK, TIME_FORMAT
 
 
 def scenario_of(path: Column) -> Column:
-    """Name of the log up to its first dot; the log is a file, a folder of part files, or such a folder of a scenario."""
-    name = F.regexp_extract(path, r"([^/.]+)(\.[^/]*)?(/part-[^/]*)?$", 1)
-    return F.regexp_replace(name, "^scenario=", "")
+    """Name of the log up to its first dot; the log is a file, a folder of part files, or such a folder of a scenario.
+
+    Cut at slashes and dots: it is worked out for every row, and a search by pattern tries every place of the path.
+    """
+    upto_dot = lambda segment: F.substring_index(F.ltrim(segment, F.lit(".")), ".", 1)
+    last = F.substring_index(path, "/", -1)
+    above = F.when(F.contains(path, F.lit("/")), F.substring_index(F.substring_index(path, "/", -2), "/", 1)).otherwise("")
+    name = F.when(last.startswith("part-") & (upto_dot(above) != ""), upto_dot(above)).otherwise(upto_dot(last))
+    return F.when(name.startswith("scenario="), F.substring_index(name, "scenario=", -1)).otherwise(name)
 
 
 def parse_time(text: Column) -> Column:
