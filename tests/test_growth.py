@@ -5,6 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from hostweave.functions.columns import scenario_of
+from hostweave.operators import peeling, scale
 from hostweave.sources import flow_log
 
 
@@ -22,3 +23,22 @@ def test_scenario_of_searches_no_pattern(spark):
     found = {r.path: r.scenario for r in table.select("path", scenario_of(F.col("path")).alias("scenario")).collect()}
     assert found == {p: flow_log.scenario_of(p) for p in paths}
     assert not re.search("regexp|rlike", plan_of(table.select(scenario_of(F.col("path")))).lower())
+
+
+def test_core_number_sends_only_what_fell(spark, monkeypatch):
+    """A long path falls end by end; the links must not be sent whole round after round."""
+    sent = []
+    carry = scale.Wires.carry
+
+    def counted(self, state, *values, **more):
+        found = carry(self, state, *values, **more)
+        sent.append(found.count())
+        return found
+
+    monkeypatch.setattr(scale.Wires, "carry", counted)
+    path = [(f"p{i:02}", f"p{i + 1:02}") for i in range(16)]
+    clique = [(f"c{i}", f"c{j}") for i in range(5) for j in range(i)]
+    edge_list = scale.cut(spark.createDataFrame([*path, *clique, ("p00", "c0"), ("p03", "p03")], "src string, dst string"))
+    cores = {r["id"]: r["core"] for r in peeling.core_number(edge_list).collect()}
+    assert cores == {n: 4 if n[0] == "c" else 1 for n in cores} and len(cores) == 22
+    assert sent[0] == 54 and sum(sent[1:]) <= 54
