@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from hostweave.functions.columns import bare_host, parse_time, scenario_of
+from hostweave.operators.scale import partitions_for
 from hostweave.sources import flow_log, stores
 from hostweave.sources.schema import FLOW_COLUMNS
 
@@ -215,7 +216,9 @@ def write_csv(df: DataFrame, path: str) -> None:
 def write_flows_csv(flows: DataFrame, path: str, start: str = "StartTime") -> None:
     """CSV parts whose concatenation is in order of the start time, and of the other columns within one time."""
     order = [start, *[c for c in flows.columns if c != start]]
-    write_csv(flows.orderBy(*order), path)
+    # as many parts as the rows need, whatever the session's number of partitions
+    parts = partitions_for(flows.sparkSession, flows.count())
+    write_csv(flows.repartitionByRange(parts, *order).sortWithinPartitions(*order), path)
 
 
 def write_distribution(properties: DataFrame, path: str, column: str) -> None:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from hostweave.functions.columns import scenario_of
 from hostweave.operators import peeling, scale
-from hostweave.sources import flow_log
+from hostweave.sources import flow_csv, flow_log
 
 
 def plan_of(df):
@@ -25,6 +25,26 @@ def test_scenario_of_searches_no_pattern(spark):
     assert not re.search("regexp|rlike", plan_of(table.select(scenario_of(F.col("path")))).lower())
 
 
+def test_running_total_gives_no_task_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(scale, "PARTITION_ROWS", 500)
+    rows = spark.range(30_000).select("id", (F.col("id") % 7).alias("n"))
+    total = scale.running_total(rows, "n", ["id"]).select("id", "before", F.spark_partition_id().alias("task"))
+    seen = total.groupBy("task").agg(F.count("*").alias("rows")).agg(F.max("rows"), F.sum("rows")).first()
+    assert seen[0] <= 30_000 / 4 / 2 and seen[1] == 30_000
+    last = total.where("id = 29999").first()["before"]
+    assert last == sum(i % 7 for i in range(29_999))
+
+
+def test_ordered_csv_has_parts_for_its_rows(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(scale, "PARTITION_ROWS", 500)
+    rows = spark.range(10_000).select(F.col("id").cast("string").alias("StartTime"), "id").repartition(3)
+    flow_csv.write_flows_csv(rows, str(tmp_path / "csv"))
+    files = sorted((tmp_path / "csv").glob("part-*"))
+    assert len(files) >= 15
+    written = [line for f in files for line in f.read_text().splitlines() if line != "StartTime,id"]
+    assert written == [f"{i},{i}" for i in sorted(map(str, range(10_000)))]
+
+
 def test_core_number_sends_only_what_fell(spark, monkeypatch):
     """A long path falls end by end; the links must not be sent whole round after round."""
     sent = []
