@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from hostweave.functions.columns import scenario_of
 from hostweave.operators import peeling, scale
+from hostweave.plans import catalog
 from hostweave.sources import flow_csv, flow_log
 
 
@@ -62,3 +63,17 @@ def test_core_number_sends_only_what_fell(spark, monkeypatch):
     cores = {r["id"]: r["core"] for r in peeling.core_number(edge_list).collect()}
     assert cores == {n: 4 if n[0] == "c" else 1 for n in cores} and len(cores) == 22
     assert sent[0] == 54 and sum(sent[1:]) <= 54
+
+
+def test_concatenated_logs_have_parts_for_their_rows(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(catalog, "PARTITION_ROWS", 400)
+    monkeypatch.setattr(catalog, "fresh", lambda _, name: str(tmp_path / name))
+    n = F.col("id")
+    numbers = {"l_orderkey": n, "l_partkey": n % 50, "l_suppkey": n % 9, "l_linenumber": (n % 4).cast("int"), "l_quantity": n % 50 + 0.0}
+    numbers |= {"l_extendedprice": n * 1.5, "l_discount": n % 3 / 10, "l_tax": n % 2 / 10}
+    words = {"l_returnflag": F.lit("A"), "l_linestatus": F.lit("F"), "l_shipdate": F.lit("1995-01-01").cast("timestamp")}
+    spark.range(2_000).select(*[c.alias(k) for k, c in (numbers | words).items()]).write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = catalog.flow_csv_concatenated(spark, str(tmp_path))
+    assert len(list((tmp_path / "parts").glob("part-*"))) == 20
+    expected = catalog.flows(spark, str(tmp_path))
+    assert found.exceptAll(expected).count() == expected.exceptAll(found).count() == 0
