@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from hostweave.functions.columns import scenario_of
-from hostweave.operators import peeling, scale
+from hostweave.operators import distance, peeling, scale, vectors
 from hostweave.plans import catalog
 from hostweave.sources import flow_csv, flow_log
 
@@ -77,3 +77,30 @@ def test_concatenated_logs_have_parts_for_their_rows(spark, monkeypatch, tmp_pat
     assert len(list((tmp_path / "parts").glob("part-*"))) == 20
     expected = catalog.flows(spark, str(tmp_path))
     assert found.exceptAll(expected).count() == expected.exceptAll(found).count() == 0
+
+
+def _ring_with_hub(spark):
+    """150 hosts in a ring, all linked with a hub: 300 edges, so three words of bits."""
+    ring = [(f"r{i:03}", f"r{(i + 1) % 150:03}") for i in range(150)]
+    return scale.cut(spark.createDataFrame(ring + [(f"r{i:03}", "hub") for i in range(150)], "src string, dst string"))
+
+
+def _rows_sent(monkeypatch):
+    sent = []
+    carry = vectors.Grid.carry
+
+    def counted(self, state, vec):
+        found = scale.cut(carry(self, state, vec))
+        sent.append(found.count())
+        return found
+
+    monkeypatch.setattr(vectors.Grid, "carry", counted)
+    return sent
+
+
+def test_harmonic_sends_vectors_not_a_row_for_each_link_and_word(spark, monkeypatch):
+    sent = _rows_sent(monkeypatch)
+    found = {r["id"]: r["harmonic"] for r in distance.harmonic_exact(_ring_with_hub(spark)).collect()}
+    assert found == {n: 150.0 if n == "hub" else 3 + 147 / 2 for n in found} and len(found) == 151
+    # 600 links and three words; a host gets one vector from each cell it has links in, and no hop is made to find nothing
+    assert len(sent) == 2 and max(sent) <= 151 * 4
