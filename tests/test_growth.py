@@ -104,3 +104,12 @@ def test_harmonic_sends_vectors_not_a_row_for_each_link_and_word(spark, monkeypa
     assert found == {n: 150.0 if n == "hub" else 3 + 147 / 2 for n in found} and len(found) == 151
     # 600 links and three words; a host gets one vector from each cell it has links in, and no hop is made to find nothing
     assert len(sent) == 2 and max(sent) <= 151 * 4
+
+
+def test_betweenness_sends_vectors_not_a_row_for_each_link_and_pivot(spark, monkeypatch):
+    sent = _rows_sent(monkeypatch)
+    edge_list = _ring_with_hub(spark).unionByName(spark.createDataFrame([("hub", "r000")], "src string, dst string"))
+    found = {r["id"]: r["betweenness"] for r in distance.betweenness(scale.cut(edge_list), n_pivots=64).collect()}
+    assert len(found) == 151 and found["hub"] == max(found.values()) > 0
+    # 301 links and 64 pivots: thousands of rows if each link told of each pivot
+    assert max(sent) <= 151 * 4
