@@ -108,8 +108,9 @@ def test_harmonic_sends_vectors_not_a_row_for_each_link_and_word(spark, monkeypa
 
 def test_betweenness_sends_vectors_not_a_row_for_each_link_and_pivot(spark, monkeypatch):
     sent = _rows_sent(monkeypatch)
-    edge_list = _ring_with_hub(spark).unionByName(spark.createDataFrame([("hub", "r000")], "src string, dst string"))
-    found = {r["id"]: r["betweenness"] for r in distance.betweenness(scale.cut(edge_list), n_pivots=64).collect()}
-    assert len(found) == 151 and found["hub"] == max(found.values()) > 0
-    # 301 links and 64 pivots: thousands of rows if each link told of each pivot
-    assert max(sent) <= 151 * 4
+    pairs = [(f"r{i:03}", "hub") for i in range(150)] + [("hub", f"s{i}") for i in range(10)]
+    edge_list = scale.cut(spark.createDataFrame(pairs, "src string, dst string"))
+    found = {r["id"]: round(r["betweenness"], 9) for r in distance.betweenness(edge_list).collect()}
+    assert found == {n: round(1500 / 160 / 159, 9) if n == "hub" else 0.0 for n in found} and len(found) == 161
+    # a row for each link and pivot would be 1,500 from the hub
+    assert max(sent) <= 161
